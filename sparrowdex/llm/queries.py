@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .brown import op9_brown
 from .matroska import op6_matroska
+from .quality import op2_quality
 from .sharding import op4_shards
+from .simhash import op7_simhash
 from .token_counts import op1_token_counts
 from .token_store import op10_token_store
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
     "op4_shards": op4_shards,
     "op6_matroska": op6_matroska,
+    "op7_simhash": op7_simhash,
+    "op9_brown": op9_brown,
     "op10_token_store": op10_token_store,
 }
 SQL: dict[str, str] = {}
