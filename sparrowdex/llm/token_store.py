@@ -1,34 +1,38 @@
 """Content-addressed store of token ids (operator 10).
 
 Each document's id stream is cut where a rolling hash of the last ids meets a mask, so equal passages
-tend to give equal chunks wherever they stand. The store is a folder with four Parquet tables:
+tend to give equal chunks wherever they stand. The store is a folder of Parquet tables:
 
-``chunks``    sha, ids        each distinct chunk once, under the SHA-256 of its bytes
-``recipes``   root, chunks    each distinct list of chunk hashes once, under the SHA-256 of the list
-``documents`` doc_id, root, n_tokens, part, before   sorted by doc_id in range parts
-``manifest``  level, node, hash, n   Merkle tree over the chunk hashes, one root at the top level
+``objects/kind=0``  key, body   each distinct chunk once: its ids under the SHA-256 of the bytes
+``objects/kind=1``  key, body   each distinct recipe once: its chunks' hashes under the SHA-256 of these
+``documents``       doc_id, root, n_tokens, part, before   in order of doc_id, in range parts
+``manifest``        level, node, hash, n   Merkle tree over the chunk hashes, one root at the top level
 
-Ids are little-endian unsigned 32-bit integers. Reading rebuilds every recipe from its chunks and
-compares each chunk, each recipe and the Merkle root with the hashes that name them.
+Ids are little-endian unsigned integers of 16 bits if the vocabulary allows, else of 32 (``item`` in the
+manifest). Reading hashes every chunk and recipe anew and compares. A document's CRC-32 follows from its
+chunks' CRC-32s and lengths, so the chunks need not travel to be checked.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Entries of a worker's memo of words; words longer than this many bytes are not kept.
-MEMO_WORDS, MEMO_BYTES = 400_000, 48
+MEMO_WORDS, MEMO_BYTES = 250_000, 48
 #: Ids that the rolling hash sees; least, usual and most ids of a chunk.
-WINDOW, LEAST, USUAL, MOST = 8, 64, 256, 1024
+WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 2048
 #: Chunk hashes under one leaf of the Merkle tree, about; children of an inner node (2 to this power).
 LEAF, FAN_BITS = 1024, 8
 
@@ -54,34 +58,66 @@ class WordEncoder:
         self.lower = "Lowercase" in kinds
         self.marks = [t["content"][:2].encode() for t in spec["added_tokens"]]
         self.library = Tokenizer.from_file(path)
+        vocab, suffix = self.library.get_vocab(), spec["model"].get("end_of_word_suffix")
+        #: Ids that end a unit, if the vocabulary marks these.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.kind = "<u2" if len(self.ends) <= 65_536 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, many in one text: each is one unit and so ends at the first id
+        that ends a unit. A group where the ends don't number the words is encoded word by word."""
+        out: list[bytes] = []
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, found in zip(groups, self.library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) == len(group):
+                raw, stops = ids.tobytes(), stops.tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self._ids([w.decode() for w in group])
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
+        """Ids of each UTF-8 text as little-endian integers of ``kind``."""
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
         words = [(t.lower() if self.lower and not any(m in t for m in self.marks) else t).split() for t in texts]
-        known = self.known
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        new = set().union(*words).difference(known) if words else set()
-        stems, ended = set(), []
+        if len(self.known) > MEMO_WORDS:  # two generations: words in use move on
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        plain, other, ended, long = set(), set(), [], []
+        new = set().union(*words).difference(known)
+        if before:
+            again = new.intersection(before)
+            known.update((w, before[w]) for w in again)
+            new -= again
         for w in new:
-            if w[-1:] in b".,!" and w[:-1].isalpha():  # a letter and a mark are never one unit
+            text = w.decode()
+            if text.isalpha():
+                plain.add(w)
+            elif w[-1:] in (b".", b",", b"!") and text[:-1].isalpha():  # a letter and a mark are never one unit
                 ended.append(w)
-                stems.update((w[:-1], w[-1:]))
+                plain.add(w[:-1])
+                other.add(w[-1:])
             else:
-                stems.add(w)
-        stems = list(stems.difference(known))
-        known.update(zip(stems, self._ids([w.decode() for w in stems])))
+                other.add(w)
+                if len(w) > MEMO_BYTES:
+                    long.append(w)
+        plain, other = list(plain.difference(known)), list(other.difference(known))
+        known.update(zip(plain, self._word_ids(plain)))
+        known.update(zip(other, self._ids([w.decode() for w in other])))
         known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
         out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for w in stems:
-            if len(w) > MEMO_BYTES:
-                del known[w]
+        for w in long:
+            del known[w]
         return out
 
 
@@ -94,19 +130,23 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last ``WINDOW`` ids asks for a cut."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     rolled = mixed.copy()
     for j in range(1, WINDOW):
         rolled[j:] += mixed[:-j] * np.uint64(pow(0xBF58476D1CE4E5B9, j, 1 << 64))
-    marks = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(USUAL - LEAST) == 0) + 1).tolist()
+    return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(USUAL - LEAST) == 0) + 1
+
+
+def cuts(marked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids: at marks, but at least and at most so far apart.
+
+    The least length hides the marks whose window reaches back before the stream.
+    """
     ends, start = [], 0
-    for mark in [*marks, n]:
+    for mark in [*marked, n]:
         while mark - start > MOST:
             start += MOST
             ends.append(start)
@@ -126,40 +166,48 @@ def write_store(df: DataFrame, vocabulary: str, path: str, end_id: int | None =
     spark = df.sparkSession
     common.small_batches(spark)
     id_type = df.schema[id_col].dataType.simpleString()
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    kind = encoder(vocabulary).kind
+    item = int(kind[2])
+    end = b"" if end_id is None else int(end_id).to_bytes(item, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(vocabulary), common.Memo(lambda key: False, 200_000)
+        enc, part, serial = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        seen: set[bytes] = set()
         for batch in batches:
-            roots, counts, lists, shas, payloads = [], [], [], [], []
-            for ids in enc.encode(common.utf8(batch.column(1).to_pylist())):
-                ids += end
-                start, recipe = 0, []
-                for stop in cuts(np.frombuffer(ids, "<u4")):
-                    payload = ids[4 * start : 4 * stop]
-                    recipe.append(sha := hashlib.sha256(payload).digest())
+            streams = [x + end for x in enc.encode(common.utf8(batch.column(1).to_pylist()))]
+            marked = marks(np.frombuffer(b"".join(streams), kind))
+            lengths = np.array([len(x) // item for x in streams], np.int64)
+            stops = np.cumsum(lengths)
+            split = np.searchsorted(marked, stops, side="right").tolist()
+            kinds, keys, bodies, roots, first, base = [], [], [], [], 0, 0
+            for ids, n, last in zip(streams, lengths.tolist(), split):
+                start, recipe = 0, b""
+                for stop in cuts((marked[first:last] - base).tolist(), n):
+                    body = ids[item * start : item * stop]
+                    sha = hashlib.sha256(body).digest()
+                    recipe += sha
                     start = stop
-                    if not seen[sha]:
-                        seen[sha] = True
-                        shas.append(sha)
-                        payloads.append(payload)
-                roots.append(root := hashlib.sha256(b"".join(recipe)).digest())
-                counts.append(len(ids) // 4)
-                lists.append(None if seen[root] else recipe)
-                seen[root] = True
-            rows, more = len(roots), len(shas)
-            one = lambda x, kind, pad: pa.array(x + [None] * pad, kind)
-            yield pa.RecordBatch.from_pydict({
-                id_col: pa.concat_arrays([batch.column(0), pa.nulls(more, batch.column(0).type)]),
-                "root": one(roots, pa.binary(), more), "n_tokens": one(counts, pa.int64(), more), "chunks": one(lists, pa.list_(pa.binary()), more),
-                "sha": pa.array([None] * rows + shas, pa.binary()), "ids": pa.array([None] * rows + payloads, pa.binary()),
-            })
-
-    made = df.select(id_col, text_col).mapInArrow(work, f"{id_col} {id_type}, root binary, n_tokens long, chunks array<binary>, sha binary, ids binary")
-    made.write.parquet(f"{path}/staged")
-    made = spark.read.schema(made.schema).parquet(f"{path}/staged")
-    made.where("sha IS NOT NULL").select("sha", "ids").dropDuplicates(["sha"]).write.parquet(f"{path}/chunks")
-    made.where("chunks IS NOT NULL").select("root", "chunks").dropDuplicates(["root"]).write.parquet(f"{path}/recipes")
+                    if sha not in seen:
+                        seen.add(sha)
+                        kinds.append(0)
+                        keys.append(sha)
+                        bodies.append(body)
+                first, base = last, base + n
+                roots.append(root := hashlib.sha256(recipe).digest())
+                if root not in seen:
+                    seen.add(root)
+                    kinds.append(1)
+                    keys.append(root)
+                    bodies.append(recipe)
+            more, rows = len(kinds), len(roots)
+            keys += [b"%d/%d" % (part, serial + i) for i in range(rows)]
+            serial += rows
+            if len(seen) > 300_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(kinds + [2] * rows, pa.int32()), pa.array(keys, pa.binary()), pa.array(bodies + roots, pa.binary()),
+                pa.concat_arrays([pa.nulls(more, batch.column(0).type), batch.column(0)]), pa.concat_arrays([pa.nulls(more, pa.int64()), pa.array(lengths)]),
+            ], ["kind", "key", "body", id_col, "n_tokens"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -170,11 +218,19 @@ def write_store(df: DataFrame, vocabulary: str, path: str, end_id: int | None =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = made.where("root IS NOT NULL").select(id_col, "root", "n_tokens").repartitionByRange(parts, id_col, "root").sortWithinPartitions(id_col, "root")
-    rows = rows.withColumn("part", F.spark_partition_id())
+    made = df.select(id_col, text_col).mapInArrow(work, f"kind int, key binary, body binary, {id_col} {id_type}, n_tokens long")
+    made = made.repartition(parts, "key").dropDuplicates(["kind", "key"])
+    made.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    rows = spark.read.schema(made.schema).parquet(f"{path}/objects").where("kind = 2").select(id_col, F.col("body").alias("root"), "n_tokens")
+    rows = rows.repartitionByRange(parts, id_col, "root").sortWithinPartitions(id_col, "root").withColumn("part", F.spark_partition_id())
     rows.mapInArrow(place, f"{id_col} {id_type}, root binary, n_tokens long, part int, before long").write.parquet(f"{path}/documents")
-    merkle(spark.read.parquet(f"{path}/chunks")).write.parquet(f"{path}/manifest")
-    common.remove(spark, f"{path}/staged")
+    merkle(objects(spark, path, 0)).withColumn("item", F.lit(item)).write.parquet(f"{path}/manifest")
+    common.remove(spark, f"{path}/objects/kind=2")
+
+
+def objects(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """The chunks (0) or recipes (1) of a store."""
+    return spark.read.schema("kind int, key binary, body binary").parquet(f"{path}/objects").where(F.col("kind") == kind).select("key", "body")
 
 
 def merkle(chunks: DataFrame) -> DataFrame:
@@ -183,8 +239,8 @@ def merkle(chunks: DataFrame) -> DataFrame:
     bits = 0
     while n >> bits > LEAF:
         bits += 1
-    prefix = F.conv(F.substring(F.hex("sha"), 1, 8), 16, 10).cast("long")
-    level = chunks.select(F.shiftright(prefix, 32 - bits).alias("node"), F.hex("sha").alias("h"))
+    prefix = F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("long")
+    level = chunks.select(F.shiftright(prefix, 32 - bits).alias("node"), F.hex("key").alias("h"))
     level = level.groupBy("node").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))).cast("binary"), 256).alias("hash"), F.count("*").alias("n"))
     levels = [level.select(F.lit(0).alias("level"), "node", "hash", "n")]
     while bits > 0:
@@ -202,36 +258,91 @@ def merkle(chunks: DataFrame) -> DataFrame:
 def verify_manifest(spark: SparkSession, path: str) -> bool:
     """Whether the Merkle tree of the chunks as stored is the manifest's."""
     key = ["level", "node", "hash", "n"]
-    kept, now = spark.read.parquet(f"{path}/manifest").select(key), merkle(spark.read.parquet(f"{path}/chunks")).select(key)
+    kept, now = spark.read.parquet(f"{path}/manifest").select(key), merkle(objects(spark, path, 0)).select(key)
     return kept.exceptAll(now).isEmpty() and now.exceptAll(kept).isEmpty()
 
 
+def _shift_tables(bits: int = 40) -> np.ndarray:
+    """For each power of two of zero bytes, what these make of a CRC-32, by the CRC's four bytes."""
+    step = np.zeros(32, np.uint64)  # the CRC of each single bit after one zero bit
+    step[0] = 0xEDB88320
+    step[1:] = 1 << np.arange(31, dtype=np.uint64)
+
+    def apply(matrix: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(v)
+        for i in range(32):
+            out ^= np.where(v >> np.uint64(i) & np.uint64(1), matrix[i], np.uint64(0))
+        return out
+
+    for _ in range(3):
+        step = apply(step, step)
+    byte, out = np.arange(256, dtype=np.uint64), []
+    for _ in range(bits):
+        out.append([apply(step, byte << np.uint64(8 * k)) for k in range(4)])
+        step = apply(step, step)
+    return np.array(out, np.uint64)
+
+
+def joined_crc(before: np.ndarray, after: np.ndarray, n_bytes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """CRC-32s of two byte strings in a row from the CRC-32 of each and the length of the second."""
+    out = before.astype(np.uint64)
+    for k in range(int(n_bytes.max()).bit_length() if len(n_bytes) else 0):
+        at = (n_bytes >> k & 1).astype(bool)
+        v = out[at]
+        out[at] = tables[k][0][v & np.uint64(255)] ^ tables[k][1][v >> np.uint64(8) & np.uint64(255)] ^ tables[k][2][v >> np.uint64(16) & np.uint64(255)] ^ tables[k][3][v >> np.uint64(24)]
+    return out ^ after.astype(np.uint64)
+
+
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Rebuild the documents of a store: id, start, n_tokens, ids_crc32, intact (and ids, if wanted).
+    """The documents of a store: id, start, n_tokens, ids_crc32, intact (and ids, if wanted).
 
-    ``start`` counts the ids of all documents before it in id order. ``intact`` says that every chunk
-    and the recipe have the hashes that name them; a lost chunk makes it false and the ids null.
+    ``start`` counts the ids of all documents before it in id order; ``ids_crc32`` and ``ids`` are of the
+    ids as unsigned 32-bit integers. ``intact`` says that every chunk and the recipe have the hashes
+    that name them; if a chunk is lost or changed it is false and n_tokens and ids_crc32 are null.
     """
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    wanted = recipes.select("root", F.posexplode("chunks").alias("at", "sha"))
-    found = wanted.join(chunks.withColumn("good", F.sha2("ids", 256) == F.lower(F.hex("sha"))), "sha", "left")
-    parts = found.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("ids").alias("ids"), F.hex("sha").alias("sha")))).alias("parts"), F.min(F.coalesce("good", F.lit(False))).alias("good"))
-    ids = F.unhex(F.concat_ws("", F.transform("parts", lambda p: p["ids"])))
-    named = F.sha2(F.unhex(F.concat_ws("", F.transform("parts", lambda p: p["sha"]))), 256) == F.lower(F.hex("root"))
-    whole = parts.select("root", F.when(F.col("good"), ids).alias("ids"), (F.col("good") & named).alias("intact"))
-    whole = whole.select("root", F.crc32("ids").alias("ids_crc32"), (F.octet_length("ids") / 4).cast("long").alias("read"), "intact", *(["ids"] if with_ids else []))
+    item = (spark.read.parquet(f"{path}/manifest").select("item").first() or [2])[0]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(1).to_pylist()
+            wide = [np.frombuffer(x, f"<u{item}").astype("<u4").tobytes() for x in bodies]
+            good = [hashlib.sha256(x).digest() == k for k, x in zip(batch.column(0).to_pylist(), bodies)]
+            columns = [batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(good)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(wide, pa.binary())] * with_ids, ["sha", "n_bytes", "crc", "good"] + ["ids"] * with_ids)
+
+    chunks = objects(spark, path, 0).mapInArrow(digest, "sha binary, n_bytes long, crc long, good boolean" + ", ids binary" * with_ids)
+    recipes = objects(spark, path, 1)
+    count = (F.octet_length("body") / 32).cast("int")
+    wanted = recipes.where(count > 0).select(F.col("key").alias("root"), (F.sha2("body", 256) == F.lower(F.hex("key"))).alias("named"), F.explode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.col("body").substr(i * 32 + 1, F.lit(32)).alias("sha")))).alias("c"))
+    found = wanted.select("root", "named", "c.at", "c.sha").join(chunks, "sha", "left")
+    one = F.struct("at", F.coalesce("n_bytes", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), *(["ids"] * with_ids))
+    parts = found.groupBy("root").agg(F.sort_array(F.collect_list(one)).alias("parts"), F.min(F.col("named") & F.coalesce("good", F.lit(False))).alias("intact"))
+    parts = parts.select("root", "intact", F.col("parts.n").alias("n"), F.col("parts.crc").alias("crc"), *([F.unhex(F.concat_ws("", F.transform("parts", lambda p: F.hex(p["ids"])))).alias("ids")] * with_ids))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _shift_tables()
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            n, crc = (pa.compute.list_flatten(batch.column(i)).to_numpy() for i in (2, 3))
+            start, total, out = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.uint64)
+            for k in range(int(sizes.max()) if len(sizes) else 0):
+                rows = np.flatnonzero(sizes > k)
+                at = start[rows] + k
+                out[rows] = joined_crc(out[rows], crc[at], n[at], tables)
+                total[rows] += n[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total // 4), pa.array(out.astype(np.int64)), *batch.columns[4:]], ["root", "intact", "read", "ids_crc32", *batch.schema.names[4:]])
+
+    whole = parts.mapInArrow(combine, "root binary, intact boolean, read long, ids_crc32 long" + ", ids binary" * with_ids)
     docs = spark.read.parquet(f"{path}/documents")
-    sums = docs.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row for each part
     base, total = [], 0
-    for r in sums:
+    for r in docs.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each part
         base.append((r["part"], total))
         total += r["n"]
     bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))
-    out = docs.join(bases, "part").withColumn("start", F.col("base") + F.col("before")).join(whole, "root", "left")
-    # a document without any id has an empty recipe, which has no chunk
-    none = F.col("n_tokens") == 0
-    out = out.withColumn("ids_crc32", F.when(none, F.lit(0)).otherwise(F.col("ids_crc32"))).withColumn("intact", none | F.coalesce(F.col("intact") & (F.col("read") == F.col("n_tokens")), F.lit(False)))
-    return out.select(id_col, "start", F.coalesce("read", "n_tokens").alias("n_tokens"), "ids_crc32", "intact", *(["ids"] if with_ids else []))
+    none = F.col("n_tokens") == 0  # its recipe has no chunk
+    out = docs.join(bases, "part").join(whole, "root", "left").withColumn("intact", none | (F.coalesce("intact", F.lit(False)) & (F.col("read") == F.col("n_tokens"))))
+    read, crc = (F.when(none, F.lit(0).cast("long")).when(F.col("intact"), F.col(c)).alias(c) for c in ("read", "ids_crc32"))
+    return out.select(id_col, (F.col("base") + F.col("before")).alias("start"), read.alias("n_tokens"), crc, "intact", *(["ids"] * with_ids))
 
 
 def op10_token_store(spark, sf_dir):
