@@ -160,7 +160,7 @@ def _date(text: Column, key: str, invert: bool) -> Column:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     early = one(early, lambda s: F.concat_ws("/", two(s["x"] % 12 + 1), two(s["y"] + 13), (F.floor(s["x"] / 12) + 1900).cast("string")))
     late = one(late, lambda s: F.concat(F.substring(text, 1, 6), (s["x"] * 10 + s["y"] + 1900).cast("string")))
-    month_first = F.when((high == 2) & (low == 29), text).when(low <= 28, early).otherwise(late)  # a leap day so written stays
+    month_first = F.when((high == 2) & (low == 29), F.lit(None).cast("string")).when(low <= 28, early).otherwise(late)  # a leap day so written stays
     return F.when(text.like("____-%"), F.date_format(date, "yyyy-MM-dd")).when(low > 12, month_first).otherwise(F.date_format(date, "dd/MM/yyyy"))
 
 

@@ -216,9 +216,10 @@ def counts_at(table: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)])
 
 
-def fits(table: bytes, budget: int) -> int:
-    """The most bytes that a prefix can have with at most ``budget`` tokens; 0 bytes always fit."""
-    return int(np.flatnonzero(counts_at(table) <= budget)[-1])
+def fits(table: bytes, budget: int, raw: bytes) -> int:
+    """The most bytes that a prefix of whole characters can have with at most ``budget`` tokens; 0 bytes always fit."""
+    ends = np.append((np.frombuffer(raw, np.uint8) & 192) != 128, True)  # places where a character begins or the text ends
+    return int(np.flatnonzero((counts_at(table) <= budget) & ends)[-1])
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -244,13 +245,12 @@ def prefix_token_counts(df: DataFrame, vocabulary: str, limit: int = 512, id_col
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = counter(vocabulary).table
         for batch in batches:
-            tables, n_bytes = [], []
-            for text in batch.column(1).to_pylist():
-                tables.append(table_of(text or ""))
-                n_bytes.append(len(tables[-1]))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            tables = list(map(table_of, texts))
+            n_bytes = list(map(len, tables))
             steps = [np.frombuffer(t, np.int8) for t in tables]
             n_tokens = [int(s.sum(dtype=np.int64)) for s in steps]
-            cut = [n if k <= limit else fits(t, limit) for n, k, t in zip(n_bytes, n_tokens, tables)]
+            cut = [n if k <= limit else fits(t, limit, x.encode()) for n, k, t, x in zip(n_bytes, n_tokens, tables, texts)]
             out = {id_col: batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())}
             out |= {"over_limit": pa.array([k > limit for k in n_tokens], pa.bool_()), "limit_bytes": pa.array(cut, pa.int64())}
             if keep_tables:

@@ -1,0 +1,396 @@
+"""Each corpus operator against brute force, and on nulls, empty and very long texts, repeated rows, empty tables and
+columns with clashing names."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sparrowdex.llm import brown, common, decontaminate, matroska, mixing, pii, quality, sharding, simhash, token_counts, token_store
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    "The white house. Don't we'll  see\n\n 'tis <|endoftext|> now", "", None, "the white house", "the white house", "été ñandú 日本語  　 x", "  lead and trail  ", "word " * 6000, "x" * 5000,
+    "call +1 (017) 555-7713 or a.b@example.com", "A B C D E F G H I J K L M N", "\t\n \x0b", "!!! ??? $$$ 123 456", "The white house. Don't we'll  see now", "!!<|endoftext|><|endof",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", 1, 2, 0.5, "z") for i, t in enumerate(TEXTS)] + [(3, "the white house", "en", 1, 2, 0.5, "z"), (None, "no id", None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, n_tokens int, score double, body string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark, docs):
+    return docs.where("doc_id < 0")
+
+
+def pairs(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def test_token_counts(docs, none):
+    library = Tokenizer.from_file(BYTE)
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.prefix_token_counts(docs, BYTE).collect())
+    assert got == Counter((i, len((t or "").encode()), size(t), size(t) > 512) for i, t in pairs(docs))
+    assert token_counts.prefix_token_counts(none, BYTE).count() == 0
+    tables = token_counts.prefix_token_counts(docs, BYTE, limit=5, keep_tables=True).where("doc_id < 7").collect()
+    for r in tables:
+        text, counts = TEXTS[r["doc_id"]] or "", token_counts.counts_at(r["prefix_table"])
+        for n in range(len(text) + 1):
+            assert counts[len(text[:n].encode())] == size(text[:n]), (text, n)
+        fits = max(n for n in range(len(text) + 1) if size(text[:n]) <= 5)
+        assert size((text.encode()[: r["limit_bytes"]]).decode()) <= 5 and r["limit_bytes"] >= len(text[:fits].encode())
+
+
+def test_quality(spark, docs, none, sf):
+    table = lambda n: common.table(spark, sf, n)
+    model = quality.train(table("documents"), table("labels"))
+    rows = quality.score(table("documents"), model).where("held_out").join(table("labels"), "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+    got = quality.score(docs, model, keep=("lang",)).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert quality.score(none, model).count() == 0
+    flat = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r["score"] for r in quality.score(docs, flat).collect()} == {0.5}
+
+
+def test_quality_model_learns_an_interaction():
+    x = np.random.default_rng(0).random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x[:3000], y[:3000])
+    assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_mixing(spark, docs, none, sf):
+    all_docs, labelled = mixing.labelled_languages(spark, sf)
+    got = mixing.mix(all_docs.select("doc_id", "text"), labelled, mixing.WEIGHTS).collect()
+    totals = defaultdict(float)
+    for r in got:
+        assert r["rate"] >= 0 and abs(sum(r["domain_p"].values()) - 1) < 1e-9
+        for k, p in r["domain_p"].items():
+            totals[k] += r["rate"] * r["tokens"] * p
+    whole = sum(r["tokens"] for r in got)
+    for k, w in mixing.WEIGHTS.items():
+        assert abs(totals[k] / whole - w) < 1e-4
+    kept = mixing.mix(all_docs, labelled, mixing.WEIGHTS, keep_all=True)
+    assert kept.where("copies < 1").count() == 0 and kept.count() == all_docs.count()
+    small = mixing.mix(docs, docs.select("doc_id", "lang"), {"en": 1.0})
+    assert small.count() == docs.count() and small.where("text IS NULL").first()["tokens"] == 0
+    assert mixing.mix(none, none.select("doc_id", "lang"), {"en": 1.0}).count() == 0
+
+
+def test_mixing_clips_at_zero(spark):
+    members = spark.createDataFrame([(1, 100, 1, [1.0, 0.0]), (2, 100, 1, [0.0, 1.0])], "row long, tokens long, same long, p array<double>")
+    steps = mixing.solve(members, np.array([300.0, 0.0]))
+    rates = [r[0] for r in members.orderBy("row").select(mixing.rate(steps)).collect()]
+    assert abs(rates[0] - 3) < 0.01 and 0 <= rates[1] < 0.01
+
+
+def test_shards(docs, none):
+    got = sharding.shard_rows(docs, 4).collect()
+    texts = dict(pairs(docs))
+    assert len(got) == docs.count()
+    slots, of_text = defaultdict(list), defaultdict(set)
+    for r in got:
+        text = texts[r["doc_id"]] or ""
+        assert r["size"] == len(text.encode()) + 16 and r["text_crc32"] == zlib.crc32(text.encode())
+        slots[r["shard"]].append(r["slot"])
+        of_text[text].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of_text.values())
+    assert sharding.shard_rows(none, 4).count() == 0
+
+
+def test_least_capacity_is_the_optimum(spark):
+    rng = np.random.default_rng(1)
+    old = sharding.FIRST_BITS
+    sharding.FIRST_BITS = 3
+    try:
+        for n in (5, 300):
+            sizes = rng.integers(1, 100, n)
+            keys = rng.integers(0, 1 << 60, n)
+            atoms = spark.createDataFrame(list(zip(map(int, keys), map(int, sizes))), "key long, bytes long")
+            ordered = sizes[np.argsort(keys)]
+            best = next(c for c in range(1, 100_000) if c >= ordered.max() and sharding.walk(np.cumsum(ordered), c, 7) is not None)
+            begin, capacity = sharding.boundaries(atoms, 7)
+            shard = np.searchsorted(np.array(begin), keys, side="right")
+            assert capacity == best and np.bincount(shard, sizes).max() <= best
+    finally:
+        sharding.FIRST_BITS = old
+
+
+def test_pseudonyms(spark, docs, none):
+    texts = ["card 4111111111111111 and 4111 1111 1111 1111, not 4111111111111112", "on 2021-02-28, 31/12/1999, 12/31/1999, 05/17/2004, 02/29/2000, not 2021-02-30", "123-45-6789 899-99-9999 not 000-12-3456", "DE89370400440532013000 GB82WEST12345698765432", "ip 144.137.247.239 not 300.1.1.1 nor 4.0.", "+1 (017) 555-7713 x.y-9é@mail7.example.com", "", None, "word " * 20000 + "4111111111111111"]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)] + [(0, texts[0], "p")], "doc_id long, text string, pii string")
+    out = pii.pseudonymise(df, "key")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == 10 and [len(rows[i]["pii"]) for i in range(9)] == [2, 4, 2, 2, 1, 2, 0, 0, 1]
+    new = rows[0]["text"]
+    assert "not 4111111111111112" in new and rows[0]["pii"][0]["value"] == rows[8]["pii"][0]["value"] == rows[0]["pii"][1]["value"].replace(" ", "")
+    digits = [int(d) for d in rows[0]["pii"][0]["value"]]
+    assert (sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])) % 10 == 0
+    assert "not 2021-02-30" in rows[1]["text"] and "31/12/1999" not in rows[1]["text"] and "05/17/2004" not in rows[1]["text"]
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(out.select("doc_id", "text"), "key", invert=True).collect()}
+    assert back == dict(enumerate(texts))
+    assert pii.pseudonymise(none, "key").count() == 0 and pii.pseudonymise(docs, "key").count() == docs.count()
+
+
+def test_feistel_is_a_permutation(spark):
+    dates = spark.range(pii.DAYS).select(pii.feistel(F.floor(F.col("id") / 229), F.col("id") % 229, F.lit(319), F.lit(229), "k", "date", F.lit(0), False).alias("s"))
+    assert dates.distinct().count() == pii.DAYS
+    three = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "x", False).alias("d"))
+    assert three.distinct().count() == 1000 and three.where(F.length("d") != 3).count() == 0
+
+
+def test_matroska(docs, none):
+    got = matroska.media_features(matroska.to_media(docs)).collect()
+    texts = defaultdict(list)
+    for i, t in pairs(docs):
+        texts[i].append(matroska.payload(t))
+    for r in got:
+        body = texts[r["doc_id"]][0]
+        assert r["payload_bytes"] == len(body) and r["payload_sha256"] == hashlib.sha256(body).hexdigest() and r["tail_crc32"] == zlib.crc32(body[-64:])
+    assert len(got) == docs.count() and matroska.media_features(matroska.to_media(none)).count() == 0
+    assert matroska.packet_table(matroska.to_media(docs.where("doc_id = 7"))).agg(F.sum("size")).first()[0] == 30016
+
+
+def test_matroska_reads_what_it_does_not_write():
+    frames = [b"a" * 300, b"b" * 20, b"c" * 7]
+    head = matroska.vint(1) + (5).to_bytes(2, "big")
+    xiph = head + b"\x02\x02" + b"\xff\x2d" + b"\x14" + b"".join(frames)
+    ebml = matroska.block_body(1, 5, frames)
+    m = matroska
+    group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, xiph) + m.number(m.BLOCK_DURATION, 9))
+    unknown = m.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + m.number(m.TIMESTAMP, 100) + m.element(0xEC, b"void") + group + m.element(m.SIMPLE_BLOCK, ebml)
+    data = m.element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + unknown + unknown
+    media = m.demux(data)
+    assert [data[p.start : p.start + p.size] for p in media.packets] == frames * 4 and media.clusters == 2
+    assert {p.time_ns for p in media.packets} == {105 * 10**6}
+    for bad in (b"", data[:-3], b"\0" * 20):
+        with pytest.raises(ValueError):
+            m.demux(bad)
+
+
+def brute_fingerprint(text, size):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", words) if w]
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    fps = defaultdict(set)
+    for i, t in pairs(docs):
+        fps[brute_fingerprint(t, 3)].add(i)
+    near = {f: {g for g in fps if (f ^ g).bit_count() <= 2} for f in fps}
+    for r in got:
+        f = int(r["fingerprint"], 16)
+        reach, todo = set(), [f]
+        while todo:
+            if (x := todo.pop()) not in reach:
+                reach.add(x)
+                todo += near[x]
+        ids = {i for x in reach for i in fps[x] if i is not None}
+        assert r["doc_id"] in fps[f] and r["component_id"] == (min(ids) if ids else None)
+    assert len(got) == docs.count() and simhash.near_duplicates(none).count() == 0
+
+
+def test_bit_slices_and_full_buckets(spark):
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    fps = set(base)
+    for b in base[:15]:
+        for _ in range(20):
+            fps.add(b := b ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))))
+    fps = sorted(fps)
+    near = lambda a, b, r: (a ^ b).bit_count() <= r
+
+    def classes(edges):
+        root = {f: f for f in fps}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        groups = defaultdict(set)
+        for f in fps:
+            groups[find(f)].add(f)
+        return sorted(map(sorted, groups.values()))
+
+    for r in (0, 1, 2, 3, 7, 24):
+        planes = simhash.planes_of(fps)
+        for f in fps[:20]:
+            mask = simhash.within(f, planes, (1 << len(fps)) - 1, r)
+            assert [i for i in range(len(fps)) if mask >> i & 1] == [i for i, g in enumerate(fps) if near(f, g, r)]
+    want = classes([(a, b) for a in fps for b in fps if near(a, b, 2)])
+    assert classes(simhash.forest(fps, 2)) == want
+    old, simhash.BUCKET = simhash.BUCKET, 3
+    try:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        edges = simhash.bucket_edges(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 2).collect()
+    finally:
+        simhash.BUCKET = old
+    assert classes([(e["a"] % (1 << 64), e["b"] % (1 << 64)) for e in edges]) == want
+
+
+def test_similar_groups(spark):
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for c in range(6):
+            own = list(words)
+            for k in rng.integers(0, 150, c):
+                own[k] = f"x{g}{c}{k}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(100, rows[0][1]), (101, ""), (102, None), (0, rows[0][1])]
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in sets:
+        for j in sets:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    old, simhash.SIDE = simhash.SIDE, 2
+    try:
+        got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        simhash.SIDE = old
+    assert len(got) == len(rows) and all(r["component_id"] == find(r["doc_id"]) for r in got)
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(0, 15)).tolist(), rng.integers(0, 6, rng.integers(0, 15)).tolist()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        assert decontaminate.common_subsequence(a, b) == row[-1]
+
+
+def test_decontamination(spark, docs, none, sf):
+    table = lambda n: common.table(spark, sf, n)
+    texts, items = pairs(table("documents")), [(r["item_id"], r["text"]) for r in table("benchmark").collect()]
+    planted = {(i, k) for i, t in texts for k, x in items if x.lower() in (t or "").lower()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table("documents"), table("benchmark")).collect()}
+    assert planted and planted <= got
+    for i, k in got - planted:  # what else is found holds most words of the item in order
+        own, theirs = decontaminate.word_ids(dict(items)[k]).tolist(), decontaminate.word_ids(dict(texts)[i]).tolist()
+        assert decontaminate.common_subsequence(own, theirs) >= 0.8 * len(own)
+    words = items[0][1].split()
+    changed = " ".join(w if n % 9 else "other" for n, w in enumerate(words))
+    more = spark.createDataFrame([(1, "some words before " + changed + " and after it"), (2, " ".join(reversed(words))), (3, None), (4, ""), (1, "unrelated text with the same id")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(more, table("benchmark")).collect()} == {(1, items[0][0])}
+    assert sorted(r["text"] or "" for r in decontaminate.clean(more, table("benchmark")).collect()) == sorted(["", "", " ".join(reversed(words)), "unrelated text with the same id"])
+    assert decontaminate.leaks(none, table("benchmark")).count() == 0
+    assert decontaminate.clean(docs, table("benchmark").where("item_id < 0")).count() == docs.count()
+
+
+def test_answers_decide_paraphrases():
+    ids = decontaminate.word_ids
+    item = "one two three four five six seven eight nine ten answer forty two"
+    kept = "one two three x five six y eight nine z answer forty two"
+    assert decontaminate.verified(ids(item), ids("forty two"), ids(kept)) > 0.7 and decontaminate.verified(ids(item), ids("forty two"), ids(kept.replace("forty", "twelve"))) == 0
+    assert decontaminate.verified(ids(item), ids(""), ids(kept)) == 0
+
+
+def test_language_model(docs, none, sf, spark):
+    got = brown.score_texts(docs).collect()
+    counts = Counter()
+    trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    rows = pairs(docs)
+    for i, t in rows:
+        if trains(i):
+            counts.update(brown.tokens((t or "").encode()))
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t in rows:
+        words = brown.tokens((t or "").encode())
+        want[i, not trains(i), len(words), sum(counts[w] > 0 for w in words), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), 6)] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert brown.score_texts(none).count() == 0
+    held = brown.score_texts(common.table(spark, sf, "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_class_model_sums_to_one():
+    rng = np.random.default_rng(5)
+    units, bigrams = 30, rng.integers(0, 20, (30, 30)).astype(float)
+    classes = brown.exchange(bigrams, 5)
+
+    def likelihood(c):
+        one = np.zeros((units, 5))
+        one[np.arange(units), c] = 1
+        t = one.T @ bigrams @ one
+        log = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return log(t) - log(t.sum(0)) - log(t.sum(1))
+
+    best = likelihood(classes)
+    for u in range(units):
+        for c in range(5):
+            other = classes.copy()
+            other[u] = c
+            assert likelihood(other) <= best + 1e-6
+
+
+def test_token_store(spark, docs, none, tmp_path):
+    library = Tokenizer.from_file(WORD)
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs, WORD, path)
+    got = sorted(token_store.read_store(spark, path, with_ids=True).collect(), key=lambda r: r["start"])
+    start, rows = 0, defaultdict(list)
+    for i, t in pairs(docs):
+        rows[i].append(library.encode(t or "", add_special_tokens=False).ids + [1])
+    ids_in_order = [r["doc_id"] for r in got]
+    assert ids_in_order == sorted(ids_in_order, key=lambda x: (x is not None, x)) and len(got) == docs.count()
+    for r in got:
+        raw = [np.array(x, "<u4").tobytes() for x in rows[r["doc_id"]]]
+        assert r["start"] == start and bytes(r["ids"]) in raw and r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and r["n_tokens"] == len(r["ids"]) // 4 and r["intact"]
+        start += r["n_tokens"]
+    assert token_store.verify_manifest(spark, path)
+    empty = f"file://{tmp_path}/empty"
+    token_store.write_store(none, WORD, empty)
+    assert token_store.read_store(spark, empty).count() == 0
+
+
+def test_token_store_notices_changes(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), WORD, path)
+    chunks = token_store.objects(spark, path, 0).collect()
+    changed = [(0, c["key"], c["body"] if n else bytes(c["body"])[:-2] + b"\x07\x00") for n, c in enumerate(chunks)]
+    recipes = [(1, c["key"], c["body"]) for c in token_store.objects(spark, path, 1).collect()]
+    spark.createDataFrame(changed + recipes, "kind int, key binary, body binary").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/objects")
+    assert sorted(r["intact"] for r in token_store.read_store(spark, path).collect()) == [False, True]
+
+
+def test_chunks_follow_content():
+    rng = np.random.default_rng(6)
+    body = rng.integers(0, 40_000, 20_000)
+
+    def chunks(ids):
+        out, start = [], 0
+        for stop in token_store.cuts(token_store.marks(ids).tolist(), len(ids)):
+            out.append(ids[start:stop].tobytes())
+            start = stop
+        assert b"".join(out) == ids.tobytes()
+        return out
+
+    a, b = chunks(body), chunks(np.concatenate([rng.integers(0, 40_000, 300), body]))
+    assert len(set(a) & set(b)) > 0.9 * len(a) and max(map(len, a)) <= token_store.MOST * body.itemsize
+    both = token_store.joined_crc(np.array([zlib.crc32(b"abc"), 0]), np.array([zlib.crc32(b"defg"), zlib.crc32(b"x")]), np.array([4, 1]), token_store._shift_tables())
+    assert both.tolist() == [zlib.crc32(b"abcdefg"), zlib.crc32(b"x")]
