@@ -171,3 +171,14 @@ def test_streams(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     assert {(r["term"], r["tf"]) for r in spark.table("postings").collect()} == {("white", 2), ("house", 1)}
     assert [tuple(r) for r in spark.table("standing").collect()] == [("q", "d1", 3)]
+
+
+def test_inspection(index):
+    from sparrowdex.__main__ import inspect
+
+    assert {r["field"]: r["n_docs"] for r in inspect(index, "stats").collect()} == {"body": 4, "title": 4}
+    assert [r["tf"] for r in inspect(index, "postings", "white", "1").collect()] == [2]
+    assert inspect(index, "attribute", "d2", "title").first()[0] == "Houses" and inspect(index, "docids").count() == 4
+    assert [r["term"] for r in inspect(index, "termvector", "d1", "title").collect()] == ["house", "white"]
+    with pytest.raises(ValueError):
+        inspect(index, "dance")
