@@ -346,12 +346,12 @@ def ltr_rerank_scores(spark, sf_dir):
     return retrieval.top(ltr.linear_scores(_ltr_vectors(spark, sf_dir), (1.0, 2.0, 0.5, 3.0), (5, 7, 8, 18)), TOP, DIGITS)
 
 
-_PAGE_QRELS = "SELECT qid, ext_id, CASE WHEN CAST(ext_id AS BIGINT) % 5 = 0 THEN 2 WHEN CAST(ext_id AS BIGINT) % 3 = 0 THEN 1 WHEN CAST(ext_id AS BIGINT) % 7 = 0 THEN -2 ELSE 0 END AS rel FROM c WHERE CAST(ext_id AS BIGINT) < 40"
+_PAGE_QRELS = "SELECT qid, ext_id, CASE WHEN f10 > 0 THEN 2 WHEN f7 > 1 THEN 1 ELSE -2 END AS rel FROM v"
 
 
 def _page_qrels(vectors):
-    i = F.col("ext_id").cast("long")
-    return vectors.where(i < 40).select("qid", "ext_id", F.when(i % 5 == 0, 2).when(i % 3 == 0, 1).when(i % 7 == 0, -2).otherwise(0).alias("rel"))
+    """Judgments for every candidate: pages with query words in the title, then those with several in the body."""
+    return vectors.select("qid", "ext_id", F.when(F.col("f10") > 0, 2).when(F.col("f7") > 1, 1).otherwise(-2).alias("rel"))
 
 
 @query("ltr_training_pairs", _ltr_sql() + f", l AS (SELECT v.*, greatest(rel, 0) AS label FROM v JOIN ({_PAGE_QRELS}) USING (qid, ext_id)) SELECT a.qid, a.ext_id AS better, b.ext_id AS worse, CAST(round((coalesce(a.f5, 0) - coalesce(b.f5, 0)) * 1000000) AS BIGINT) AS d5, CAST(round((coalesce(a.f17, 0) - coalesce(b.f17, 0)) * 1000000) AS BIGINT) AS d17 FROM l a JOIN l b ON a.qid = b.qid AND a.label > b.label")
@@ -362,8 +362,9 @@ def ltr_training_pairs(spark, sf_dir):
 
 
 def _trained(spark, sf_dir, name):
-    vectors = ltr.minmax(_ltr_vectors(spark, sf_dir))
-    weights = ltr.TRAINERS[name](ltr.training_rows(vectors, _page_qrels(vectors)))
+    raw = _ltr_vectors(spark, sf_dir)
+    vectors = ltr.minmax(raw)
+    weights = ltr.TRAINERS[name](ltr.training_rows(vectors, _page_qrels(raw)))
     return retrieval.top(ltr.linear_scores(vectors, weights), TOP, DIGITS)
 
 
@@ -391,11 +392,11 @@ def rerank_tail_merge(spark, sf_dir):
     return reranking.merge_reranked(old, new).withColumn("score", F.round("score", 6))
 
 
-@query("dense_topk", "WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(v.vec_id AS VARCHAR) AS ext_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND v.vec_id >= 10) SELECT qid, rank, ext_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ext_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10")
+@query("dense_topk", "WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(v.vec_id AS VARCHAR) AS ext_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT qid, rank, ext_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ext_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("string").alias("ext_id"), F.col("embedding").alias("vector"))
-    asked = rows.where("vec_id < 10").select(F.col("ext_id").alias("qid"), "vector")
-    return reranking.dense_top(asked, rows.where("vec_id >= 10"), 10, 6)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("ext_id").alias("qid"), "vector")  # the stated query set, against all rows
+    return reranking.dense_top(asked, rows, 10, 6)
 
 
 # passages, prompts, answers ---------------------------------------------------------------------------------------
@@ -447,17 +448,18 @@ _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({0}, '
 
 
 def _qa(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").select("conv_id", "turn", F.col("conv_id").cast("string").alias("qid"), "text")
-    said = rows.where("turn = 0").select("qid", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 12)).alias("answer"))
-    truths = rows.where("turn <= 1").select("qid", F.concat_ws(" ", F.slice(F.split("text", " "), 1, F.when(F.col("turn") == 0, F.col("conv_id") % 12 + 1).otherwise(8).cast("int"))).alias("truth"))
+    """Each conversation's last turn as the answer, its earlier turns as truths."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").select("turn", F.col("conv_id").cast("string").alias("qid"), "text")
+    said = rows.groupBy("qid").agg(F.max_by("text", "turn").alias("answer"), F.max("turn").alias("last"))
+    truths = rows.join(said.select("qid", "last"), "qid").where("turn < last").select("qid", F.col("text").alias("truth"))
     return evaluation.answer_scores(said, truths)
 
 
-_QA_SQL = f"""WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL AND turn <= 1), a AS (SELECT conv_id, {_NORM.format("array_to_string(w[1:12], ' ')")} AS p FROM c WHERE turn = 0),
-t AS (SELECT conv_id, {_NORM.format("array_to_string(w[1 : CASE WHEN turn = 0 THEN conv_id % 12 + 1 ELSE 8 END], ' ')")} AS t FROM c),
-x AS (SELECT conv_id, p, t, list_filter(string_split(p, ' '), lambda z: z <> '') AS pw, list_filter(string_split(t, ' '), lambda z: z <> '') AS tw FROM a JOIN t USING (conv_id)),
+_QA_SQL = f"""WITH c AS (SELECT conv_id, turn, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE text IS NOT NULL), a AS (SELECT conv_id, {_NORM.format("text")} AS p FROM c WHERE turn = last),
+t AS (SELECT conv_id, {_NORM.format("text")} AS t FROM c WHERE turn < last),
+x AS (SELECT conv_id, p, t, list_filter(string_split(p, ' '), lambda z: z <> '') AS pw, list_filter(string_split(t, ' '), lambda z: z <> '') AS tw FROM a LEFT JOIN t USING (conv_id)),
 y AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(pw), lambda z: least(len(list_filter(pw, lambda v: v = z)), len(list_filter(tw, lambda v: v = z))))), 0) AS same FROM x),
-e AS (SELECT CAST(conv_id AS VARCHAR) AS qid, max(CAST(p = t AS DOUBLE)) AS em, max(CASE WHEN same > 0 THEN 2.0 * same / (len(pw) + len(tw)) ELSE 0.0 END) AS f1, max(CAST(t <> '' AND contains(p, t) AS DOUBLE)) AS oracle FROM y GROUP BY conv_id)"""
+e AS (SELECT CAST(conv_id AS VARCHAR) AS qid, max(coalesce(CAST(p = t AS DOUBLE), 0.0)) AS em, max(coalesce(CASE WHEN same > 0 THEN 2.0 * same / (len(pw) + len(tw)) ELSE 0.0 END, 0.0)) AS f1, max(coalesce(CAST(t <> '' AND contains(p, t) AS DOUBLE), 0.0)) AS oracle FROM y GROUP BY conv_id)"""
 
 
 @query("qa_em_f1", _QA_SQL + " SELECT qid, em, round(f1, 6) AS f1, oracle FROM e")
@@ -473,12 +475,14 @@ def qa_report(spark, sf_dir):
 
 # retrieval metrics -------------------------------------------------------------------------------------------------
 def _judged(spark, sf_dir):
-    return documents_index(spark, sf_dir).docs.select("ext_id", F.col("ext_id").cast("long").alias("i")).where("i % 7 = 0").select(F.explode(F.array(*(F.lit(q) for q in WORDS))).alias("qid"), "ext_id", F.when(F.col("i") % 2 == 0, 2).otherwise(1).alias("rel"))
+    """Graded judgments for every query: good documents, those that aren't toxic above the others."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("ext_id"), F.when(F.col("quality") == 1, 2 - F.col("toxic")).otherwise(0).alias("rel"))
+    return rows.select(F.explode(F.array(*(F.lit(q) for q in WORDS))).alias("qid"), "ext_id", "rel")
 
 
 def _metrics_sql(run: str) -> str:
-    return f"""run AS ({run}), qr AS (SELECT qid, CAST(doc_id AS VARCHAR) AS ext_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS rel FROM documents, (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) q(qid) WHERE doc_id % 7 = 0),
-nd AS (SELECT qid, count(*) AS n_rel, list(rel ORDER BY rel DESC) AS ideal FROM qr GROUP BY qid),
+    return f"""run AS ({run}), qr AS (SELECT qid, CAST(doc_id AS VARCHAR) AS ext_id, CASE WHEN quality = 1 THEN 2 - toxic ELSE 0 END AS rel FROM labels, (VALUES ('1'), ('2'), ('3'), ('4'), ('5')) q(qid)),
+nd AS (SELECT qid, count(*) AS n_rel, list(rel ORDER BY rel DESC) AS ideal FROM qr WHERE rel > 0 GROUP BY qid),
 rk AS (SELECT run.qid, run.ext_id, row_number() OVER (PARTITION BY run.qid ORDER BY score DESC, run.ext_id DESC) AS r, coalesce(rel, 0) AS rel FROM run LEFT JOIN qr ON qr.qid = run.qid AND qr.ext_id = run.ext_id),
 rh AS (SELECT *, CAST(rel > 0 AS INTEGER) AS hit, sum(CAST(rel > 0 AS INTEGER)) OVER (PARTITION BY qid ORDER BY r) AS hits FROM rk),
 ag AS (SELECT nd.qid, n_rel, coalesce(max(CASE WHEN hit = 1 THEN 1.0 / r END), 0) AS recip_rank, coalesce(sum(CASE WHEN hit = 1 THEN hits / r END), 0) / n_rel AS map, coalesce(sum(CASE WHEN r <= 10 THEN hit END), 0) / 10.0 AS p10, coalesce(sum(CASE WHEN r <= 100 THEN hit END), 0) / n_rel AS rec, coalesce(sum(CASE WHEN r <= 10 THEN rel / log2(r + 1) END), 0) / list_sum(list_transform(ideal[1:10], lambda x, i: x / log2(i + 1))) AS nd10 FROM nd LEFT JOIN rh USING (qid) GROUP BY nd.qid, n_rel, ideal),
