@@ -180,12 +180,21 @@ def window_bm25(spark, sf_dir):
     return _run(spark, sf_dir, {"1": "#window/8( de la )"})
 
 
-@query("near_three_terms")
+_THREE = "FROM post x JOIN post y USING (ext_id, field) JOIN post z USING (ext_id, field) WHERE x.term = 'the' AND y.term = 'and' AND z.term = 'of'"
+_NEAR3 = f"""m_w(ext_id, p, r, q, i, u2, u3, hits) AS (SELECT x.ext_id, x.positions, y.positions, z.positions, 1, -1, -1, CAST([] AS BIGINT[]) {_THREE}
+UNION ALL SELECT ext_id, p, r, q, i + 1, CASE WHEN ok THEN c2 ELSE u2 END, CASE WHEN ok THEN c3 ELSE u3 END, CASE WHEN ok THEN list_append(hits, c3) ELSE hits END FROM (SELECT *, coalesce(c2 - p[i] <= 12 AND c3 - c2 <= 12, false) AS ok FROM (SELECT *, list_min(list_filter(q, lambda v: v > c2 AND v > u3)) AS c3 FROM (SELECT *, list_min(list_filter(r, lambda v: v > p[i] AND v > u2)) AS c2 FROM m_w WHERE i <= len(p))))),
+m AS (SELECT ext_id, hits FROM m_w WHERE i = len(p) + 1 AND len(hits) > 0)"""
+_WINDOW3 = f"""m_w(ext_id, p, r, q, i, j, k, hits) AS (SELECT x.ext_id, x.positions, y.positions, z.positions, 1, 1, 1, CAST([] AS BIGINT[]) {_THREE}
+UNION ALL SELECT ext_id, p, r, q, i + CAST(ok OR p[i] = lo AS INTEGER), j + CAST(ok OR (r[j] = lo AND p[i] <> lo) AS INTEGER), k + CAST(ok OR (q[k] = lo AND p[i] <> lo AND r[j] <> lo) AS INTEGER), CASE WHEN ok THEN list_append(hits, hi) ELSE hits END FROM (SELECT *, hi - lo < 12 AS ok FROM (SELECT *, least(p[i], r[j], q[k]) AS lo, greatest(p[i], r[j], q[k]) AS hi FROM m_w WHERE i <= len(p) AND j <= len(r) AND k <= len(q)))),
+m AS (SELECT ext_id, hits FROM m_w WHERE (i > len(p) OR j > len(r) OR k > len(q)) AND len(hits) > 0)"""
+
+
+@query("near_three_terms", _positional(_NEAR3, "m", "RankedBoolean"))
 def near_three_terms(spark, sf_dir):
     return _run(spark, sf_dir, {"1": "#near/12( the and of )"}, "RankedBoolean")
 
 
-@query("window_three_terms")
+@query("window_three_terms", _positional(_WINDOW3, "m", "RankedBoolean"))
 def window_three_terms(spark, sf_dir):
     return _run(spark, sf_dir, {"1": "#window/12( the and of )"}, "RankedBoolean")
 
