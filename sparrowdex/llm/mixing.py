@@ -28,6 +28,8 @@ SHARE = 1e-4
 EVIDENCE = 6.0
 #: Rounds of projected gradient at most, and the relative error at which they end.
 ROUNDS, NEAR = 60, 1e-6
+#: A plain step that lowers the errors by less than this share is the last.
+SETTLED = 1e-3
 WORDS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -102,13 +104,37 @@ def solve(members: DataFrame, target: np.ndarray) -> list[list[float]]:
     steps: list[list[float]] = []
     if top <= 0:
         return steps
+
+    def state(tried: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Relative errors of the totals, and the second derivatives over documents whose rate isn't 0."""
+        rows = members.select(tokens.alias("t"), rate(tried).alias("r"), "p")
+        e = [F.element_at("p", i + 1) for i in range(k)]
+        moving = F.col("t") * (F.col("r") > 0).cast("double")
+        found = [x or 0.0 for x in rows.agg(*(F.sum(F.col("t") * F.col("r") * x) for x in e), *(F.sum(moving * e[i] * e[j]) for i, j in at)).first()]
+        active = np.zeros((k, k))
+        for (i, j), v in zip(at, found[k:]):
+            active[i, j] = active[j, i] = v
+        return (np.array(found[:k]) - target) / positive, active
+
+    error, active = state(steps)
+    ridge = 1e-9 * np.trace(gram) / k * np.eye(k)
     for _ in range(ROUNDS):
-        r = rate(steps)
-        totals = np.array([x or 0.0 for x in members.select(tokens.alias("t"), r.alias("r"), "p").agg(*(F.sum(F.col("t") * F.col("r") * F.element_at("p", i + 1)) for i in range(k))).first()])
-        error = (totals - target) / positive
         if np.abs(error).max() < NEAR:
             break
-        steps.append((error / positive / top).tolist())
+        # the gradient scaled by the inverse of the second derivatives; where that doesn't help, the plain gradient
+        # with the step that its largest eigenvalue allows
+        scaled = np.linalg.solve(active + ridge, error * positive)
+        for part in (1.0, 0.5, 0.25):
+            tried = steps + [(part * scaled).tolist()]
+            found = state(tried)
+            if np.linalg.norm(found[0]) <= (1 - 0.3 * part) * np.linalg.norm(error):
+                break
+        else:
+            tried = steps + [(error / positive / top).tolist()]
+            found = state(tried)
+            if np.linalg.norm(found[0]) > (1 - SETTLED) * np.linalg.norm(error):  # targets that no rates reach
+                break
+        steps, (error, active) = tried, found
     return steps
 
 
