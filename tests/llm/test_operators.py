@@ -328,6 +328,18 @@ def test_language_model(docs, none, sf, spark):
     assert held[0] > held[1]
 
 
+def test_rare_words_of_one_shape_get_classes_of_their_contexts(spark):
+    rng, rows = np.random.default_rng(6), ["lo big hi", "hi bag lo"] * 200
+    names = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) + "en" for _ in range(1200)]
+    for i, w in enumerate(names):  # less than a thousandth of the tokens each
+        rows += [f"lo {w} hi" if i % 2 else f"hi {w} lo"] * 3
+    numbers = [i for i in range(8 * len(rows)) if zlib.crc32(str(i).encode()) % 7 != 2][: len(rows)]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    asked = [(held[0], f"lo {names[1]} hi"), (held[1], f"hi {names[1]} lo")]
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(spark.createDataFrame([*zip(numbers, rows), *asked], "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(5)
     units, bigrams = 30, rng.integers(0, 20, (30, 30)).astype(float)
