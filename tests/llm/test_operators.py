@@ -301,6 +301,13 @@ def test_decontamination(spark, docs, none, sf):
     assert decontaminate.clean(docs, table("benchmark").where("item_id < 0")).count() == docs.count()
 
 
+def test_items_among_repeated_words_are_found(spark, sf):
+    items = common.table(spark, sf, "benchmark")
+    rows = [(r["item_id"], f"host{r['item_id']} " * 60 + r["text"] + f" host{r['item_id']}" * 60) for r in items.collect()]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {(i, i) for i, _ in rows} <= got
+
+
 def test_answers_decide_paraphrases():
     ids = decontaminate.word_ids
     item = "one two three four five six seven eight nine ten answer forty two"
