@@ -221,52 +221,52 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     return marked.join(member, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar shingle sets: bands of minima, minima of a band, and bits that fingerprints of such sets may differ in.
-BANDS, MINIMA, FAR = 12, 4, 24
+#: For similar shingle sets: bands of minima, and minima of a band.
+BANDS, MINIMA = 12, 4
 #: Sets of one side of a comparison of a band's members.
 SIDE = 512
 _FACTORS = (np.random.default_rng(11).integers(1 << 62, size=BANDS * MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def set_sketch(raw: bytes, size: int) -> tuple[int, bytes, int, list[int]]:
-    """Fingerprint, sorted 32-bit shingle hashes, a hash of these, and band keys of a text."""
+def set_sketch(raw: bytes, size: int) -> tuple[bytes, int, list[int]]:
+    """Sorted 32-bit shingle hashes, a hash of these, and band keys of a text."""
     hashes = shingle_hashes(raw, size)
-    fp = fingerprint(hashes)
     body = np.unique(hashes.astype(np.uint32)).tobytes()
     least = np.full(BANDS * MINIMA, np.uint64((1 << 64) - 1))
     for start in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[start : start + 4096, None] * _FACTORS).min(0), out=least)
     keys = [xxhash.xxh64_intdigest(least[i : i + MINIMA].tobytes(), i) for i in range(0, len(least), MINIMA)]
-    return fp, body, xxhash.xxh64_intdigest(body, SEED), keys
+    return body, xxhash.xxh64_intdigest(body, SEED), keys
 
 
-def similar_forest(fps: list[int], sets: list[bytes], similarity: float, radius: int) -> list[tuple[int, int]]:
+def similar_forest(sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
     """Places of pairs that join all sets of at least this Jaccard similarity: a spanning forest of the links.
 
-    Pairs whose fingerprints are beyond the radius, and pairs that are joined already, are not looked at.
+    Pairs whose sizes rule that out, and pairs that are joined already, are not looked at.
     """
-    arrays = [np.frombuffer(s, np.uint32) for s in sets]
-    parent = list(range(len(fps)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    planes, everyone, edges = planes_of(fps), (1 << len(fps)) - 1, []
-    for i, fp in enumerate(fps):
-        mask = within(fp, planes, everyone, radius) >> i + 1 << i + 1
-        while mask:
-            j = (mask & -mask).bit_length() - 1
-            mask &= mask - 1
-            x, y = arrays[i], arrays[j]
-            if root(i) == root(j) or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+    sizes = np.array([len(s) // 4 for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    # shingles numbered within the bucket, so that one set's can be marked and counted in all others
+    names, every = np.unique(np.frombuffer(b"".join(sets), np.uint32), return_inverse=True)
+    marked = np.zeros(len(names), bool)
+    root = np.arange(len(sets))
+    edges = []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[(root[rest] != root[i]) & (small >= similarity * large)]
+        if not len(rest):
+            continue
+        own = every[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        for j in rest.tolist():
+            if root[j] == root[i]:
                 continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (len(x) + len(y) - both):
-                parent[root(j)] = root(i)
+            both = np.count_nonzero(marked[every[starts[j] : starts[j] + sizes[j]]])
+            if both >= similarity * (sizes[i] + sizes[j] - both):
+                root[root == root[j]] = root[i]
                 edges.append((i, j))
+        marked[own] = False
     return edges
 
 
@@ -275,8 +275,7 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     ``similarity``, far beyond the few bits that blocks of a fingerprint allow.
 
     Bands of minima of the shingle hashes bring similar sets together (a pair of similarity 0.8 misses all with chance
-    0.002); there the fingerprints are compared by bit slices, and those near enough by their sets. Equal sets are
-    one member. A band with many members is compared in pairs of blocks of members. Texts without words are alike.
+    0.002); there the sets of all pairs that aren't joined yet are compared. Equal sets are one member. A band with many members is compared in pairs of blocks of members. Texts without words are alike.
     """
     spark = df.sparkSession
     common.small_batches(spark)
@@ -286,28 +285,28 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [set_sketch(raw, size) for raw in common.utf8(batch.column(1).to_pylist())]
-            keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(signed([k for r in rows for k in r[3]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([r[0] for r in rows])), pa.array(signed([r[2] for r in rows])), keys, pa.array([r[1] for r in rows], pa.binary())], [id_col, "fp", "member", "keys", "body"])
+            keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(signed([k for r in rows for k in r[2]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([r[1] for r in rows])), keys, pa.array([r[0] for r in rows], pa.binary())], [id_col, "member", "keys", "body"])
 
-    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(sketch, f"{id_col} {id_type}, fp long, member long, keys array<long>, body binary"), "sketches")
-    members = common.checkpoint(rows.groupBy("member").agg(F.min(id_col).alias("least_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(sketch, f"{id_col} {id_type}, member long, keys array<long>, body binary"), "sketches")
+    members = common.checkpoint(rows.groupBy("member").agg(F.min(id_col).alias("least_id"), F.min("keys").alias("keys")))
     banded = members.select("member", F.posexplode("keys").alias("band", "key"))
     held = banded.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
     shared = common.checkpoint(banded.join(held, ["band", "key"]))
     wanted = shared.groupBy("member").agg(F.collect_list(F.struct("band", "key", "held")).alias("at"))  # one for each band at most
-    bodies = rows.select("member", "fp", "body").join(shared.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"])
+    bodies = rows.select("member", "body").join(shared.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"])
     sides = F.ceil(F.col("x.held") / SIDE).cast("int")
     own = F.pmod(F.col("member"), sides).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), sides - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    dealt = bodies.join(wanted, "member").select("member", "fp", "body", F.explode("at").alias("x")).select("member", "fp", "body", "x.band", "x.key", F.explode(pairs).alias("side"))
-    buckets = dealt.groupBy("band", "key", "side").agg(F.collect_list(F.struct("member", "fp", "body")).alias("all")).where(F.size("all") > 1)
+    dealt = bodies.join(wanted, "member").select("member", "body", F.explode("at").alias("x")).select("member", "body", "x.band", "x.key", F.explode(pairs).alias("side"))
+    buckets = dealt.groupBy("band", "key", "side").agg(F.collect_list(F.struct("member", "body")).alias("all")).where(F.size("all") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for all_ in batch.column(0).to_pylist():
                 all_.sort(key=lambda m: m["member"])
-                out += [(all_[i]["member"], all_[j]["member"]) for i, j in similar_forest([m["fp"] & (1 << 64) - 1 for m in all_], [m["body"] for m in all_], similarity, FAR)]
+                out += [(all_[i]["member"], all_[j]["member"]) for i, j in similar_forest([m["body"] for m in all_], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
 
     linked = components(buckets.select("all").mapInArrow(compare, "a long, b long"))

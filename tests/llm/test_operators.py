@@ -270,6 +270,17 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_similar_groups_with_repeated_lines(spark):
+    rng, rows = np.random.default_rng(8), []
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + words[100:112] * 200))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
