@@ -34,3 +34,12 @@ def test_pipeline_stages(spark, sf):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
         start += len(own)
     assert len(rows) == len(mixed) and decontaminate.leaks(docs, common.table(spark, sf, "benchmark")).count() == 0
+
+
+def test_dedup_keeps_rows_with_null_and_repeated_ids(spark, sf):
+    text = lambda n: " ".join(f"{n}w{k}" for k in range(50))
+    rows = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (None, text("a")), (2, text("a")), (1, text("a")), (None, text("d")), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    out = corpus_pipeline.dedup_stage(spark, docs, sf)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, None)], key=str)
