@@ -10,21 +10,21 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def passages(title: Column, body: Column, length: int, stride: int, count: int, title_words: int = 0) -> Column:
+def passages(title: Column, body: Column, length: int, stride: int, count: int | None, title_words: int = 0) -> Column:
     """Passages of a document: the first title words, then a window of the body.
 
     Windows begin every ``stride`` words; the last is the first that reaches the end of the body, and there are
-    at most ``count``. Without a length, a stride or a body there is one passage, whose body part is empty when
+    at most ``count`` (None: as many as there are). Without a length, a stride or a body there is one passage, whose body part is empty when
     the length or the body is.
     """
     words, head = split_words(body), F.slice(split_words(title), 1, title_words) if title_words > 0 else F.array().cast("array<string>")
     if length <= 0:
         starts = F.array(F.lit(0))
-    elif stride <= 0 or count <= 1:
+    elif stride <= 0 or (count is not None and count <= 1):
         starts = F.array(F.lit(0))
     else:
         windows = F.greatest(F.ceil((F.size(words) - length) / stride).cast("int"), F.lit(0)) + 1
-        starts = F.transform(F.sequence(F.lit(0), F.least(windows, F.lit(count)) - 1), lambda i: i * stride)
+        starts = F.transform(F.sequence(F.lit(0), (windows if count is None else F.least(windows, F.lit(count))) - 1), lambda i: i * stride)
     cut = (lambda s: F.slice(words, s + 1, F.lit(length))) if length > 0 else (lambda s: F.array().cast("array<string>"))
     return F.transform(starts, lambda s: F.concat_ws(" ", F.concat(head, cut(s))))
 

@@ -44,19 +44,32 @@ class Analyzer:
         return [t for t in found if t not in self.stopwords]
 
 
+#: White space as answers know it, Unicode's included; letters and digits, of which words consist.
+BLANK, WORDLIKE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]", r"[\p{L}\p{N}]"
+#: Ends of lines of a reply.
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}]"
+#: Labels before a short answer: fixed values.
+LABELS = ("answer:", "short answer:", "final answer:", "exact answer:")
+
+
 def normalized_answer(text: Column) -> Column:
-    """Lower case, underscores and ASCII punctuation as spaces, no articles, single spaces."""
+    """Lower case, underscores and ASCII punctuation as spaces, no articles that stand alone, single spaces."""
     plain = F.regexp_replace(F.lower(F.translate(F.coalesce(text, F.lit("")), "_", " ")), r"[!-/:-@\[-`{-~‘’´]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, f"(?<!{WORDLIKE})(a|an|the)(?!{WORDLIKE})", " "), f"{BLANK}+", " "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def cleaned_reply(text: Column) -> Column:
-    """The first line of a model's reply that isn't empty, without an ``answer:`` label and one pair of quotes.
+    """The first line of a model's reply that isn't empty, without an answer label and one pair of quotes.
 
-    Replies that report an exception are kept as they are.
+    A line that is only a label gives way to the next one. Replies that report an exception are kept, but for blanks around them.
     """
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    line = F.trim(F.regexp_replace(line, r"(?i)^(the |final |short )?answer( is)?\s*:\s*", ""))
-    return F.when(text.startswith("EXCEPTION::"), text).otherwise(F.regexp_replace(line, r"""^(["'])(.*)\1$""", "$2"))
+    text = stripped(F.coalesce(text, F.lit("")))
+    lines = F.filter(F.transform(F.split(text, LINE_ENDS), stripped), lambda x: x != "")
+    line = F.when((F.size(lines) > 1) & F.lower(F.get(lines, F.lit(0))).isin(*LABELS), F.get(lines, F.lit(1))).otherwise(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+    line = F.regexp_replace(line, f"(?i)^({'|'.join(LABELS)}){BLANK}*", "")
+    quoted = (F.length(line) >= 2) & F.left(line, F.lit(1)).isin("'", '"') & (F.left(line, F.lit(1)) == F.right(line, F.lit(1)))
+    return F.when(text.startswith("EXCEPTION::"), text).when(quoted, stripped(F.substr(line, F.lit(2), F.length(line) - 2))).otherwise(line)

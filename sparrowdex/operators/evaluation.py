@@ -45,17 +45,25 @@ def win_tie_loss(new: DataFrame, base: DataFrame, metric: str = "map", margin: f
     return both.select(kind.alias("k")).agg(*(F.count_if(F.col("k") == k).alias(a) for k, a in (("win", "wins"), ("tie", "ties"), ("loss", "losses"))))
 
 
+def numbered_words(texts: DataFrame) -> DataFrame:
+    """text and words of each distinct text: the n-th time that a word occurs has the number n, so bags compare as sets."""
+    words = texts.select("text").where("text IS NOT NULL").distinct()
+    times = words.select("text", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("text", "w").agg(F.count("*").cast("int").alias("n"))
+    named = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat_ws(" ", "w", i.cast("string")))
+    return times.groupBy("text").agg(F.flatten(F.collect_list(named)).alias("words"))
+
+
 def answer_scores(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """qid, em, f1, oracle of predictions (qid, answer) against truths (qid, truth; several a question).
 
     The best truth counts. ``oracle`` says whether a truth is contained in the answer. Without truths all are 0.
     """
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     rows = predictions.select("qid", normalized_answer(F.col("answer")).alias("p")).join(truths.select("qid", normalized_answer(F.col("truth")).alias("t")), "qid", "left")
-    p, t = words(F.col("p")), words(F.col("t"))
-    times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(times(p, w), times(t, w)))
-    f1 = F.when(same > 0, 2.0 * same / (F.size(p) + F.size(t))).otherwise(0.0)
+    bags = numbered_words(rows.select(F.explode(F.array("p", "t")).alias("text")))
+    for side in ("p", "t"):
+        rows = rows.join(bags.select(F.col("text").alias(side), F.col("words").alias(f"{side}_words")), side, "left")
+    same, size = F.size(F.array_intersect("p_words", "t_words")), F.size("p_words") + F.size("t_words")
+    f1 = F.when(same > 0, 2.0 * same / size).otherwise(0.0)
     return rows.groupBy("qid").agg(F.max(F.coalesce((F.col("p") == F.col("t")).cast("double"), F.lit(0.0))).alias("em"), F.max(F.coalesce(f1, F.lit(0.0))).alias("f1"), F.max(F.coalesce(((F.col("t") != "") & F.contains("p", F.col("t"))).cast("double"), F.lit(0.0))).alias("oracle"))
 
 

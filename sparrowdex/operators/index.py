@@ -56,9 +56,9 @@ class Index:
         per_doc = self.occurrences().groupBy("field", "term", "ext_id").agg(F.count("*").alias("tf"))
         return per_doc.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
 
-    def term_vector(self, ext_ids: list[str]) -> DataFrame:
-        """ext_id, field, term, tf, positions of some documents."""
-        few = Index(self.docs.where(F.col("ext_id").isin(ext_ids)), self.fields, self.analyzer)
+    def term_vector(self, ext_ids: list[str] | None = None) -> DataFrame:
+        """ext_id, field, term, tf, positions of some documents, or of all."""
+        few = Index(self.docs if ext_ids is None else self.docs.where(F.col("ext_id").isin(ext_ids)), self.fields, self.analyzer)
         return few.postings().select("ext_id", "field", "term", "tf", "positions")
 
     def save(self, path: str, buckets: int = 64) -> None:

@@ -245,9 +245,9 @@ def index_postings_sample(spark, sf_dir):
     return rows.select("field", "term", "ext_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
-@query("index_termvector", "WITH " + _base(True) + " SELECT ext_id, field, term, CAST(tf AS INTEGER) AS tf, array_to_string(positions, ',') AS positions FROM post WHERE ext_id IN ('1', '7')")
+@query("index_termvector", "WITH " + _base(True) + " SELECT ext_id, field, term, CAST(tf AS INTEGER) AS tf, array_to_string(positions, ',') AS positions FROM post")
 def index_termvector(spark, sf_dir):
-    return pages_index(spark, sf_dir).term_vector(["1", "7"]).withColumn("positions", F.array_join("positions", ","))
+    return pages_index(spark, sf_dir).term_vector().withColumn("positions", F.array_join("positions", ","))
 
 
 @query("doc_lengths", "WITH " + _base(stop="'the', 'and', 'of'") + " SELECT field, ext_id, CAST(len AS INTEGER) AS len, CAST(pos_len AS INTEGER) AS pos_len, CAST(indexed AS INTEGER) AS indexed FROM fl")
@@ -255,9 +255,10 @@ def doc_lengths(spark, sf_dir):
     return documents_index(spark, sf_dir, Analyzer(frozenset({"the", "and", "of"}))).lengths()
 
 
-@query("duplicate_ids", "SELECT CAST(doc_id AS VARCHAR) AS ext_id, count(*) AS n FROM documents GROUP BY doc_id HAVING count(*) > 1")
+@query("duplicate_ids", "SELECT ext_id, count(*) AS n FROM (SELECT CAST(doc_id AS VARCHAR) AS ext_id FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR) FROM pages) GROUP BY ext_id HAVING count(*) > 1")
 def duplicate_external_ids(spark, sf_dir):
-    return duplicate_ids(documents_index(spark, sf_dir).docs)
+    """Ids that documents and pages both have, as if they were one collection."""
+    return duplicate_ids(documents_index(spark, sf_dir).docs.select("ext_id").union(pages_index(spark, sf_dir).docs.select("ext_id")))
 
 
 @query("stored_attributes", "SELECT CAST(page_id AS VARCHAR) AS ext_id, url AS raw_url, CAST(length(html) AS DOUBLE) AS page_rank, " + _PAGE["title"] + " AS title FROM pages")
@@ -410,12 +411,12 @@ def dense_topk(spark, sf_dir):
 
 # passages, prompts, answers ---------------------------------------------------------------------------------------
 _WORDS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
-_PSG = f"p AS (SELECT ext_id, unnest(range(n)) AS psg_no, w FROM (SELECT CAST(doc_id AS VARCHAR) AS ext_id, w, least(3, CASE WHEN len(w) <= 75 THEN 1 ELSE CAST(ceil((len(w) - 75) / 60.0) AS BIGINT) + 1 END) AS n FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents))), ps AS (SELECT ext_id, CAST(psg_no AS INTEGER) AS psg_no, array_to_string(w[psg_no * 60 + 1 : psg_no * 60 + 75], ' ') AS passage FROM p)"
+_PSG = f"p AS (SELECT ext_id, unnest(range(n)) AS psg_no, w FROM (SELECT CAST(doc_id AS VARCHAR) AS ext_id, w, CASE WHEN len(w) <= 75 THEN 1 ELSE CAST(ceil((len(w) - 75) / 60.0) AS BIGINT) + 1 END AS n FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents))), ps AS (SELECT ext_id, CAST(psg_no AS INTEGER) AS psg_no, array_to_string(w[psg_no * 60 + 1 : psg_no * 60 + 75], ' ') AS passage FROM p)"
 
 
 def _passage_rows(spark, sf_dir):
     docs = documents_index(spark, sf_dir).docs
-    made = P.passages(F.lit(""), F.col("body"), 75, 60, 3)
+    made = P.passages(F.lit(""), F.col("body"), 75, 60, None)
     return docs.select("ext_id", F.posexplode(made).alias("psg_no", "passage"))
 
 
@@ -433,27 +434,43 @@ def passage_firstp_avgp_maxp(spark, sf_dir):
 
 @query("best_passage", f"WITH {_PSG} SELECT ext_id, arg_max(passage, (length(passage) % 17) * 1000 - psg_no) AS passage FROM ps GROUP BY ext_id")
 def best_passage(spark, sf_dir):
-    docs = documents_index(spark, sf_dir).docs.select("ext_id", P.passages(F.lit(""), F.col("body"), 75, 60, 3).alias("p"))
+    docs = documents_index(spark, sf_dir).docs.select("ext_id", P.passages(F.lit(""), F.col("body"), 75, 60, None).alias("p"))
     return docs.select("ext_id", P.best_passage(F.col("p"), F.transform("p", lambda x: F.length(x) % 17)).alias("passage"))
 
 
-@query("prompt_build", "SELECT CAST(conv_id AS VARCHAR) AS qid, 'You answer questions.' AS system_text, 'Answer the question from the context.' || chr(10) || 'Context: ' || coalesce(text, '') || chr(10) || 'Question: who' || chr(10) || 'Answer:' AS user_text FROM conversations WHERE turn = 0")
+@query("prompt_build", "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, 'You answer questions.' AS system_text, 'Answer the question from the context.' || chr(10) || 'Context: ' || coalesce(text, '') || chr(10) || 'Question: ' || coalesce(first(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || chr(10) || 'Answer:' AS user_text FROM conversations")
 def prompt_build(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
-    made = rows.select(F.col("conv_id").cast("string").alias("qid"), P.capped_prompt(F.lit("who"), F.array(F.coalesce("text", F.lit(""))), 1).alias("p"))
+    """Every turn as the passage of a prompt that asks its conversation's first turn."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("asked", F.first("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    made = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), P.capped_prompt(F.coalesce("asked", F.lit("")), F.array(F.coalesce("text", F.lit(""))), 1).alias("p"))
     return made.select("qid", F.col("p")[0]["content"].alias("system_text"), F.col("p")[1]["content"].alias("user_text"))
 
 
-_FIRST_LINE = "coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '')"
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_LABELS = "'answer:', 'short answer:', 'final answer:', 'exact answer:'"
 
 
-@query("answer_normalize", rf"""SELECT conv_id, turn, regexp_replace(trim(regexp_replace({_FIRST_LINE}, '(?i)^(the |final |short )?answer( is)?\s*:\s*', '')), '^"(.*)"$', '\1') AS answer FROM conversations""")
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+_REPLY_SQL = f"""WITH a AS (SELECT conv_id, turn, {_strip("coalesce(text, '')")} AS text FROM conversations),
+b AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM a),
+c AS (SELECT *, CASE WHEN len(ls) > 1 AND lower(ls[1]) IN ({_LABELS}) THEN ls[2] ELSE coalesce(ls[1], '') END AS l0 FROM b),
+d AS (SELECT *, CASE WHEN lower(l0) LIKE 'answer:%' THEN substr(l0, 8) WHEN lower(l0) LIKE 'short answer:%' OR lower(l0) LIKE 'final answer:%' OR lower(l0) LIKE 'exact answer:%' THEN substr(l0, 14) ELSE l0 END AS l1 FROM c),
+e AS (SELECT *, {_strip("l1")} AS l FROM d)
+SELECT conv_id, turn, CASE WHEN text LIKE 'EXCEPTION::%' THEN text WHEN length(l) >= 2 AND l[1] = l[-1] AND l[1] IN ('"', chr(39)) THEN {_strip("substr(l, 2, length(l) - 2)")} ELSE l END AS answer FROM e"""
+
+
+@query("answer_normalize", _REPLY_SQL)
 def answer_normalize(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return rows.select("conv_id", "turn", cleaned_reply(F.col("text")).alias("answer"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({0}, '_', ' ')), '[!-/:-@\[-`{{-~‘’´]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_ALONE = r"'(^|[^\p{{L}}\p{{N}}])(a|an|the)([^\p{{L}}\p{{N}}]|$)', '\1 \3', 'g'"
+#: Articles are taken off twice, since each takes the separator that the next one needs.
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace({0}, '_', ' ')), '[!-/:-@\[-`{{-~‘’´]', ' ', 'g'), " + _ALONE + "), " + _ALONE + r"), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
 def _qa(spark, sf_dir):
