@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a temporary folder is made and set.
+    Only where the setting is absent on a local master, as in tests, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='sparrowdex-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -77,15 +79,16 @@ def utf8(texts: list) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dictionary that makes what it lacks and starts anew beyond ``most`` entries."""
+    """A dictionary that makes what it lacks; beyond ``most`` entries it becomes the older of two generations, whose entries in use move on."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

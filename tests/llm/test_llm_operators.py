@@ -3,6 +3,7 @@ columns with clashing names."""
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,6 +53,27 @@ def test_token_counts(docs, none):
         assert size((text.encode()[: r["limit_bytes"]]).decode()) <= 5 and r["limit_bytes"] >= len(text[:fits].encode())
 
 
+def test_token_counts_of_odd_texts():
+    library, counter = Tokenizer.from_file(BYTE), token_counts.counter(BYTE)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(7)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\u3000", "\xa0", "'s", "'re", "'", "the", "word", "Été", "日本", "12", "²", "!!", "$$", "<|endoftext|>", "<|endof", "😀", "x" * 70, "İ", " " * 9]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(3000)]
+    for n, (text, table) in enumerate(zip(texts, counter.tables(texts))):
+        counts = token_counts.counts_at(table)
+        assert len(table) == len(text.encode()) and counts[-1] == size(text), text
+        if n < 200:
+            assert all(counts[len(text[:k].encode())] == size(text[:k]) for k in range(len(text))), text
+
+
+def test_long_runs_take_linear_time():
+    library, counter = Tokenizer.from_file(BYTE), token_counts.counter(BYTE)
+    for text in ("x" + " " * 20_000 + "y", "\n" * 20_000, "a" * 20_000, "<|endoftext|>" * 3000):
+        began = time.perf_counter()
+        counts = token_counts.counts_at(counter.tables([text])[0])
+        assert time.perf_counter() - began < 2 and counts[-1] == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_quality(spark, docs, none, sf):
     table = lambda n: common.table(spark, sf, n)
     model = quality.train(table("documents"), table("labels"))
