@@ -28,8 +28,8 @@ SHARE = 1e-4
 EVIDENCE = 6.0
 #: Rounds of projected gradient at most, and the relative error at which they end.
 ROUNDS, NEAR = 60, 1e-6
-#: A plain step that lowers the errors by less than this share is the last.
-SETTLED = 1e-3
+#: Where the best step lowers the errors by less than this share they are the least; lengths of the scaled step.
+SETTLED, LENGTHS = 1e-4, (1.0, 0.5, 0.25, 0.1, 0.02)
 WORDS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -45,7 +45,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain
     """
     spark = docs.sparkSession
     chosen = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(id_col).agg(F.min(F.col(domain_col).cast("string")).alias("__domain"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    chosen = common.checkpoint(chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample))
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # at most ``sample`` ids
     counts = rows.select("__domain", F.explode(words(F.col(text_col))).alias("word")).groupBy("word").pivot("__domain", domains := sorted(r[0] for r in chosen.select("__domain").distinct().collect())).count().fillna(0) if chosen.count() else None
     if counts is None:
@@ -81,60 +81,66 @@ def memberships(docs: DataFrame, domains: list[str], model: dict, table: DataFra
     return sums.select("row", (F.col("n") / F.col("same")).cast("long").alias("tokens"), "same", p.alias("p"))
 
 
+def moved(r: Column, step: Column) -> Column:
+    """A rate less the step along the document's posterior, but never below 0."""
+    return F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(step, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
+
+
+def _array(step) -> Column:
+    return F.array(*(F.lit(float(x)) for x in step))
+
+
 def rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the rounds: from 1, less each step along its posterior, but never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    rounds = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
-    moved = lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
-    return F.aggregate(rounds, F.lit(1.0), moved)
+    """A document's rate after the rounds, from 1."""
+    return F.aggregate(F.array(*map(_array, steps)), F.lit(1.0), moved) if steps else F.lit(1.0)
 
 
 def solve(members: DataFrame, target: np.ndarray) -> list[list[float]]:
-    """The step vectors of projected gradient descent on the relative errors of the expected totals."""
+    """The step vectors of projected gradient descent on the squared relative errors of the expected totals.
+
+    A round scales the gradient by the second derivatives over the documents that may move (rate above 0, or
+    drawn up), as a least squares problem of the domains' size. One query tries this step in several lengths and the plain
+    gradient, with the step that its largest eigenvalue allows; the best is taken.
+    """
     k = len(target)
     tokens = F.col("tokens") * F.col("same")
     p = [F.element_at("p", i + 1) for i in range(k)]
     at = [(i, j) for i in range(k) for j in range(i, k)]
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(at, members.agg(*(F.sum(tokens * p[i] * p[j]) for i, j in at)).first()):
-        gram[i, j] = gram[j, i] = v or 0.0
     positive = np.where(target > 0, target, max(target.sum(), 1.0))
+    rows = lambda steps: members.select(tokens.alias("t"), rate(steps).alias("r"), "p")
+
+    def second(steps: list[list[float]], pull) -> np.ndarray:
+        """Second derivatives by domains over the documents that may move."""
+        free = F.col("t") * ((F.col("r") > 0) | (F.aggregate(F.zip_with(_array(pull), F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) < 0)).cast("double")
+        out = np.zeros((k, k))
+        for (i, j), v in zip(at, rows(steps).agg(*(F.sum(free * p[i] * p[j]) for i, j in at)).first()):
+            out[i, j] = out[j, i] = v or 0.0
+        return out
+
+    def errors(steps: list[list[float]], tries: list) -> np.ndarray:
+        """Relative errors of the totals after each of some further steps."""
+        sums = [F.sum(F.col("t") * moved(F.col("r"), _array(x)) * e) for x in tries for e in p]
+        found = np.array([x or 0.0 for x in rows(steps).agg(*sums).first()]).reshape(len(tries), k)
+        return (found - target) / positive
+
+    gram = second([], np.zeros(k))
     top = float(np.linalg.eigvalsh(gram / np.outer(positive, positive)).max())
     steps: list[list[float]] = []
     if top <= 0:
         return steps
-
-    def state(tried: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Relative errors of the totals, and the second derivatives over documents whose rate isn't 0."""
-        rows = members.select(tokens.alias("t"), rate(tried).alias("r"), "p")
-        e = [F.element_at("p", i + 1) for i in range(k)]
-        moving = F.col("t") * (F.col("r") > 0).cast("double")
-        found = [x or 0.0 for x in rows.agg(*(F.sum(F.col("t") * F.col("r") * x) for x in e), *(F.sum(moving * e[i] * e[j]) for i, j in at)).first()]
-        active = np.zeros((k, k))
-        for (i, j), v in zip(at, found[k:]):
-            active[i, j] = active[j, i] = v
-        return (np.array(found[:k]) - target) / positive, active
-
-    error, active = state(steps)
-    ridge = 1e-9 * np.trace(gram) / k * np.eye(k)
-    for _ in range(ROUNDS):
+    error = errors(steps, [np.zeros(k)])[0]
+    for n in range(ROUNDS):
         if np.abs(error).max() < NEAR:
             break
-        # the gradient scaled by the inverse of the second derivatives; where that doesn't help, the plain gradient
-        # with the step that its largest eigenvalue allows
-        scaled = np.linalg.solve(active + ridge, error * positive)
-        for part in (1.0, 0.5, 0.25):
-            tried = steps + [(part * scaled).tolist()]
-            found = state(tried)
-            if np.linalg.norm(found[0]) <= (1 - 0.3 * part) * np.linalg.norm(error):
-                break
-        else:
-            tried = steps + [(error / positive / top).tolist()]
-            found = state(tried)
-            if np.linalg.norm(found[0]) > (1 - SETTLED) * np.linalg.norm(error):  # targets that no rates reach
-                break
-        steps, (error, active) = tried, found
+        pull = error / positive
+        active = second(steps, pull) if n else gram
+        scaled = np.linalg.lstsq(active / positive[:, None], error, rcond=1e-7)[0]
+        tries = [*(part * scaled for part in LENGTHS), pull / top]
+        found = errors(steps, tries)
+        best = int(np.argmin(np.linalg.norm(found, axis=1)))
+        if np.linalg.norm(found[best]) > (1 - SETTLED) * np.linalg.norm(error):  # the least that rates reach
+            break
+        steps, error = steps + [tries[best].tolist()], found[best]
     return steps
 
 
@@ -162,8 +168,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     drawn = F.pmod(F.xxhash64("row", F.lit("copies")), F.lit(1_000_003)) / 1_000_003.0
     copies = F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")
     rates = rates.withColumn("copies", F.greatest(copies, F.lit(1)) if keep_all else copies)
-    keyed = docs.drop("tokens", "domain_p", "rate", "copies", "row").withColumn("row", F.xxhash64(id_col, text_col))
-    return keyed.join(rates, "row").drop("row")
+    keyed = docs.drop("tokens", "domain_p", "rate", "copies").withColumn("__mixed", F.xxhash64(id_col, text_col))
+    return keyed.join(rates.withColumnRenamed("row", "__mixed"), "__mixed").drop("__mixed")
 
 
 #: Target shares of the query's and the pipeline's domains.
