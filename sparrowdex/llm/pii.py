@@ -12,6 +12,8 @@ functions map these, and the text is put together again.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone_abroad": r"(?<![\d+])\+\d{1,3}[ .-]\(?\d{1,5}\)?(?:[ .-]?\d{2,5}){1,4}(?!\d)",
+    "phone_trunk": r"(?<![\d.,+/-])(?<!\d )0\d{2,4}[ /-]\d{5,8}(?![\d.,/-]?\d)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -110,6 +115,23 @@ def _phone(text: Column, key: str, invert: bool) -> Column:
     return place_digits(text, F.concat(F.substr(digits, F.lit(1), n - 10), permute_digits(F.substr(digits, n - 9, F.lit(10)), key, "phone", invert)))
 
 
+def _abroad(text: Column, key: str, invert: bool) -> Column:
+    """All digits after the country code are permuted."""
+    digits, code = digits_of(text), F.regexp_extract(text, r"^\+(\d+)", 1)
+    return place_digits(text, F.concat(code, permute_digits(F.substr(digits, F.length(code) + 1, F.length(digits)), key, "phone_abroad", invert)))
+
+
+def _trunk(text: Column, key: str, invert: bool) -> Column:
+    """All digits after the leading 0 are permuted."""
+    digits = digits_of(text)
+    return place_digits(text, F.concat(F.lit("0"), permute_digits(F.substr(digits, F.lit(2), F.length(digits)), key, "phone_trunk", invert)))
+
+
+def _ipv6(text: Column, key: str, invert: bool) -> Column:
+    """Digits stay digits and letters a to f letters, in groups of the same lengths."""
+    return permute_characters(text, key, "ipv6", invert, letters=6)
+
+
 def _ip(text: Column, key: str, invert: bool) -> Column:
     part = F.split(text, r"\.")
     number = lambda i: F.element_at(part, i + 1).cast("int") * 256 + F.element_at(part, i + 2).cast("int")
@@ -148,7 +170,8 @@ def _day(text: Column) -> Column:
 
 def _date(text: Column, key: str, invert: bool) -> Column:
     """Dates by day number, in their format. Month-first dates are those that can only be read so, with a day
-    from 13; they stay such dates: days to 28 move by (month of all years, day), later ones by the year."""
+    from 13; they stay such dates: days to 28 move by (month of all years, day), later ones by the year, leap days
+    by the leap year."""
     a, b = DAY_SIDES
     one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     day = F.datediff(_day(text), F.lit("1900-01-01").cast("date"))
@@ -160,7 +183,10 @@ def _date(text: Column, key: str, invert: bool) -> Column:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     early = one(early, lambda s: F.concat_ws("/", two(s["x"] % 12 + 1), two(s["y"] + 13), (F.floor(s["x"] / 12) + 1900).cast("string")))
     late = one(late, lambda s: F.concat(F.substring(text, 1, 6), (s["x"] * 10 + s["y"] + 1900).cast("string")))
-    month_first = F.when((high == 2) & (low == 29), F.lit(None).cast("string")).when(low <= 28, early).otherwise(late)  # a leap day so written stays
+    nth = ((year - 1904) / 4).cast("int")  # of the 49 leap years
+    leap = feistel(F.floor(nth / 7), nth % 7, F.lit(7), F.lit(7), key, "date", F.lit(2), invert)
+    leap = one(leap, lambda s: F.concat(F.substring(text, 1, 6), (s["x"] * 28 + s["y"] * 4 + 1904).cast("string")))
+    month_first = F.when((high == 2) & (low == 29), leap).when(low <= 28, early).otherwise(late)
     return F.when(text.like("____-%"), F.date_format(date, "yyyy-MM-dd")).when(low > 12, month_first).otherwise(F.date_format(date, "dd/MM/yyyy"))
 
 
@@ -178,12 +204,12 @@ def _ssn(text: Column, key: str, invert: bool) -> Column:
     return F.element_at(F.transform(F.array(out), written), 1)
 
 
-def permute_characters(text: Column, key: str, kind: str, invert: bool) -> Column:
-    """Another string with the same kinds of characters: digits, small and capital letters a-z, and accented
+def permute_characters(text: Column, key: str, kind: str, invert: bool, letters: int = 26) -> Column:
+    """Another string with the same kinds of characters: digits, the first small and capital ``letters``, and accented
     small letters stay within their kind, other characters stay themselves."""
     chars = F.split(text, "")
     base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).when(c.between("à", "ö"), 224).when(c.between("ø", "ÿ"), 248).otherwise(F.ascii(c))
-    radix = lambda c: F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), 26).when(c.between("à", "ö"), 23).when(c.between("ø", "ÿ"), 8).otherwise(1)
+    radix = lambda c: F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).when(c.between("à", "ö"), 23).when(c.between("ø", "ÿ"), 8).otherwise(1)
     values, sides = F.transform(chars, lambda c: (F.ascii(c) - base(c)).cast("long")), F.transform(chars, lambda c: radix(c).cast("long"))
     n = F.size(chars)
     half = F.floor(n / 2).cast("int")
@@ -215,7 +241,10 @@ def kind_of(text: Column) -> Column:
     octets = F.forall(F.split(text, r"\."), lambda o: o.cast("int") <= 255)
     digits = digits_of(text)
     ssn = ~digits.rlike("^(000|666|9)|^...00|0000$")
-    chosen = F.when(whole("email"), "email").when(whole("phone"), "phone").when(whole("ip"), F.when(octets, "ip"))
+    chosen = F.when(whole("email"), "email").when(whole("phone"), "phone")
+    for kind, least, most in (("phone_abroad", 8, 15), ("phone_trunk", 8, 12)):
+        chosen = chosen.when(whole(kind), F.when(F.length(digits).between(least, most), kind))
+    chosen = chosen.when(whole("ipv6"), "ipv6").when(whole("ip"), F.when(octets, "ip"))
     chosen = chosen.when(whole("card"), F.when(valid_card(text), "card")).when(whole("ssn"), F.when(ssn, "ssn"))
     return chosen.when(whole("iban"), F.when(valid_iban(text), "iban")).when(whole("date"), F.when(_day(text).isNotNull(), "date"))
 
@@ -229,7 +258,7 @@ def pseudonymise(df: DataFrame, key: str, invert: bool = False, text_col: str =
     """
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    makers = {"email": _email, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card, "iban": _iban, "date": _date}
+    makers = {"email": _email, "ssn": _ssn, "phone": _phone, "phone_abroad": _abroad, "phone_trunk": _trunk, "ipv6": _ipv6, "ip": _ip, "card": _card, "iban": _iban, "date": _date}
 
     def mapped(m: Column) -> Column:
         kind = kind_of(m)
@@ -248,6 +277,15 @@ def pseudonymise(df: DataFrame, key: str, invert: bool = False, text_col: str =
     return out.drop("__found")
 
 
+def session_key(spark) -> str:
+    """The secret of ``spark.sparrowdex.pseudonym.key``. Where it isn't set a random one is made for the session, so values are
+    linked within it but by no later one, and can't be inverted after it."""
+    name = "spark.sparrowdex.pseudonym.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
+
+
 def op5_pseudonyms(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, key="sparrowdex")
+    return pseudonymise(docs, key=session_key(spark))
