@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's memo of words; words longer than this many bytes are not kept.
-MEMO_WORDS, MEMO_BYTES = 250_000, 48
+MEMO_WORDS, MEMO_BYTES = 300_000, 48
+#: Marks after a word that its letters don't join: ASCII ones without the apostrophe, after which letters may be a unit.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 #: Ids that the rolling hash sees; least, usual and most ids of a chunk.
 WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 2048
 #: Chunk hashes under one leaf of the Merkle tree, about; children of an inner node (2 to this power).
@@ -56,7 +59,9 @@ class WordEncoder:
         self.by_word = dropped and all(" " not in t["content"] for t in spec["added_tokens"])
         kinds = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.lower = "Lowercase" in kinds
-        self.marks = [t["content"][:2].encode() for t in spec["added_tokens"]]
+        #: Where one of these is, A-Z aren't lowered ahead of the library: beginnings of special strings, and lead bytes of
+        #: the marks that compose with letters, with small ones perhaps where they don't with large ones.
+        self.marks = [t["content"][:2].encode() for t in spec["added_tokens"]] + [b"\xcc", b"\xcd"]
         self.library = Tokenizer.from_file(path)
         vocab, suffix = self.library.get_vocab(), spec["model"].get("end_of_word_suffix")
         #: Ids that end a unit, if the vocabulary marks these.
@@ -89,36 +94,56 @@ class WordEncoder:
         """Ids of each UTF-8 text as little-endian integers of ``kind``."""
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
-        words = [(t.lower() if self.lower and not any(m in t for m in self.marks) else t).split() for t in texts]
         if len(self.known) > MEMO_WORDS:  # two generations: words in use move on
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        plain, other, ended, long = set(), set(), [], []
-        new = set().union(*words).difference(known)
+        words: list[bytes] = []
+        stops = [0]
+        for t in texts:
+            words += (t.lower() if self.lower and not any(m in t for m in self.marks) else t).split()
+            stops.append(len(words))
+        ids = list(map(known.get, words))
+        lost = [i for i, x in enumerate(ids) if x is None]
+        new = {words[i] for i in lost}
+        made: dict[bytes, bytes] = {}
         if before:
-            again = new.intersection(before)
-            known.update((w, before[w]) for w in again)
-            new -= again
+            made = {w: x for w in new if (x := before.get(w)) is not None}
+            new.difference_update(made)
+        plain, other, ended = set(), set(), []
         for w in new:
-            text = w.decode()
-            if text.isalpha():
+            if w.isalpha():
                 plain.add(w)
-            elif w[-1:] in (b".", b",", b"!") and text[:-1].isalpha():  # a letter and a mark are never one unit
-                ended.append(w)
-                plain.add(w[:-1])
-                other.add(w[-1:])
+                continue
+            base = w.rstrip(MARKS)
+            if self.letters(base):
+                plain.add(base)
+                if len(base) < len(w):
+                    other.add(w[len(base) :])
+                    ended.append((w, len(base)))
             else:
                 other.add(w)
-                if len(w) > MEMO_BYTES:
-                    long.append(w)
-        plain, other = list(plain.difference(known)), list(other.difference(known))
-        known.update(zip(plain, self._word_ids(plain)))
-        known.update(zip(other, self._ids([w.decode() for w in other])))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for w in long:
-            del known[w]
-        return out
+        kept = lambda w: known.get(w) or made.get(w) or before.get(w)
+        plain, other = [w for w in plain if not kept(w)], [w for w in other if not kept(w)]
+        made.update(zip(plain, self._word_ids(plain)))
+        made.update(zip(other, self._ids([w.decode() for w in other])))
+        made.update([(w, kept(w[:cut]) + kept(w[cut:])) for w, cut in ended])
+        for i in lost:
+            ids[i] = made[words[i]] if words[i] in made else kept(words[i])
+        known.update(made)
+        for w in other:
+            if len(w) > MEMO_BYTES:
+                del known[w]
+        return [b"".join(ids[a:b]) for a, b in zip(stops, stops[1:])]
+
+    def letters(self, word: bytes) -> bool:
+        """Whether a word is letters only, before and after the library normalizes it, and so one unit that marks don't join."""
+        if word.isalpha():  # ASCII
+            return True
+        text = word.decode()
+        if not text.isalpha():
+            return False
+        made = unicodedata.normalize("NFC", text)
+        return (made.lower() if self.lower else made).isalpha()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -220,7 +245,7 @@ def write_store(df: DataFrame, vocabulary: str, path: str, end_id: int | None =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     made = df.select(id_col, text_col).mapInArrow(work, f"kind int, key binary, body binary, {id_col} {id_type}, n_tokens long")
     made = made.repartition(parts, "key").dropDuplicates(["kind", "key"])
-    made.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    made.write.partitionBy("kind").option("compression", "lz4").parquet(f"{path}/objects")
     rows = spark.read.schema(made.schema).parquet(f"{path}/objects").where("kind = 2").select(id_col, F.col("body").alias("root"), "n_tokens")
     rows = rows.repartitionByRange(parts, id_col, "root").sortWithinPartitions(id_col, "root").withColumn("part", F.spark_partition_id())
     rows.mapInArrow(place, f"{id_col} {id_type}, root binary, n_tokens long, part int, before long").write.parquet(f"{path}/documents")
