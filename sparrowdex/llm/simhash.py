@@ -223,20 +223,26 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, id_col: str =
 
 #: For similar shingle sets: bands of minima, and minima of a band.
 BANDS, MINIMA = 12, 4
-#: Sets of one side of a comparison of a band's members.
-SIDE = 512
+#: Sets of one slice of a band's members and their bytes, about; members to which all slices of a band compare.
+SIDE, SIDE_BYTES, LEADERS = 512, 8 << 20, 3
+#: Fingerprints of one side of a comparison of a band's members; bits in which those of similar sets may differ.
+WIDE, FAR = 4096, 22
+#: Least number of minima that agree in one byte: of similar sets about 38.5 of 48 do, fewer than this with a chance of 0.00001.
+ALIKE = 26
+#: Parts into which rows of one band and key are dealt for a join.
+SALTS = 32
 _FACTORS = (np.random.default_rng(11).integers(1 << 62, size=BANDS * MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def set_sketch(raw: bytes, size: int) -> tuple[bytes, int, list[int]]:
-    """Sorted 32-bit shingle hashes, a hash of these, and band keys of a text."""
-    hashes = shingle_hashes(raw, size)
+def set_sketch(raw: bytes, size: int) -> tuple[bytes, int, list[int], int, bytes]:
+    """Sorted 32-bit shingle hashes, a hash of these, band keys, the fingerprint of the distinct shingles, and a byte of each minimum of a text."""
+    hashes = np.unique(shingle_hashes(raw, size))
     body = np.unique(hashes.astype(np.uint32)).tobytes()
     least = np.full(BANDS * MINIMA, np.uint64((1 << 64) - 1))
     for start in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[start : start + 4096, None] * _FACTORS).min(0), out=least)
     keys = [xxhash.xxh64_intdigest(least[i : i + MINIMA].tobytes(), i) for i in range(0, len(least), MINIMA)]
-    return body, xxhash.xxh64_intdigest(body, SEED), keys
+    return body, xxhash.xxh64_intdigest(body, SEED), keys, fingerprint(hashes), (least >> np.uint64(32)).astype(np.uint8).tobytes()
 
 
 def similar_forest(sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
@@ -270,12 +276,47 @@ def similar_forest(sets: list[bytes], similarity: float) -> list[tuple[int, int]
     return edges
 
 
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of sorted 32-bit hashes have at least this Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def far_pairs(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Members of two blocks (of one, if ``right`` is None) that could be similar and weren't compared or joined yet.
+
+    A member is (id, fingerprint, component, slice, size, minima). The other side stands in bit planes.
+    """
+    other = left if right is None else right
+    if not left or not other:
+        return []
+    planes, everyone = planes_of([m[1] for m in other]), (1 << len(other)) - 1
+    names, components_, slices, sizes = (np.array([m[k] for m in other], np.int64) for k in (0, 2, 3, 4))
+    minima = np.frombuffer(b"".join(m[5] for m in other), np.uint8).reshape(len(other), -1)
+    pairs = []
+    for i, (name, fp, component, part, size, least) in enumerate(left):
+        mask = within(fp, planes, everyone, radius)
+        if right is None:
+            mask &= ~((1 << i + 1) - 1)
+        if mask:
+            j = np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(-(-len(other) // 8), "little"), np.uint8), bitorder="little"))
+            j = j[(components_[j] != component) & (slices[j] != part) & (np.minimum(sizes[j], size) >= similarity * np.maximum(sizes[j], size))]
+            j = j[(minima[j] == np.frombuffer(least, np.uint8)).sum(1) >= ALIKE]
+            pairs += [(min(name, x), max(name, x)) for x in names[j].tolist()]
+    return pairs
+
+
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and component_id of each row: rows are linked when the Jaccard similarity of their word shingles reaches
     ``similarity``, far beyond the few bits that blocks of a fingerprint allow.
 
     Bands of minima of the shingle hashes bring similar sets together (a pair of similarity 0.8 misses all with chance
-    0.002); there the sets of all pairs that aren't joined yet are compared. Equal sets are one member. A band with many members is compared in pairs of blocks of members. Texts without words are alike.
+    0.002); equal sets are one member. A band's members are dealt into slices of bounded size, each with the same few
+    leaders. In a slice the sets of all pairs that aren't joined yet are compared. Where a band has several slices and its
+    members aren't all joined by then, fingerprints are compared across slices, bit-sliced, and the sets of only those pairs
+    that are near enough (similar sets differ in about 10 of 64 bits, in more than ``FAR`` with a chance of 0.00002), agree in
+    enough minima, and are in different components. Texts without words are alike. An empty table gives no rows.
     """
     spark = df.sparkSession
     common.small_batches(spark)
@@ -286,34 +327,83 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
         for batch in batches:
             rows = [set_sketch(raw, size) for raw in common.utf8(batch.column(1).to_pylist())]
             keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(signed([k for r in rows for k in r[2]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([r[1] for r in rows])), keys, pa.array([r[0] for r in rows], pa.binary())], [id_col, "member", "keys", "body"])
-
-    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(sketch, f"{id_col} {id_type}, member long, keys array<long>, body binary"), "sketches")
-    members = common.checkpoint(rows.groupBy("member").agg(F.min(id_col).alias("least_id"), F.min("keys").alias("keys")))
-    banded = members.select("member", F.posexplode("keys").alias("band", "key"))
-    held = banded.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = common.checkpoint(banded.join(held, ["band", "key"]))
-    wanted = shared.groupBy("member").agg(F.collect_list(F.struct("band", "key", "held")).alias("at"))  # one for each band at most
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([r[1] for r in rows])), keys, pa.array(signed([r[3] for r in rows])), pa.array([r[4] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.binary())], [id_col, "member", "keys", "fp", "minima", "body"])
+
+    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(sketch, f"{id_col} {id_type}, member long, keys array<long>, fp long, minima binary, body binary"), "sketches")
+    # equal bodies may come from other 64-bit hashes that agree in 32 bits: one of their fingerprints serves all
+    members = common.checkpoint(rows.groupBy("member").agg(F.min(id_col).alias("least_id"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.min("minima").alias("minima"), F.max(F.octet_length("body")).alias("size")))
+    banded = members.select("member", "fp", "size", F.posexplode("keys").alias("band", "key"))
+    lead = [F.min_by("member", F.xxhash64("member", "band", F.lit(i))) for i in range(LEADERS)]
+    slices = F.ceil(F.greatest(F.col("held") / SIDE, F.col("bytes") / SIDE_BYTES)).cast("int")
+    held = banded.groupBy("band", "key").agg(F.count("*").alias("held"), F.sum("size").alias("bytes"), F.array_distinct(F.array(*lead)).alias("leaders"))
+    held = common.checkpoint(held.where("held > 1").select("band", "key", "held", "leaders", slices.alias("slices")))
+    salted = lambda t: t.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
+    spread = lambda t: t.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    keys = ["band", "key", "salt"]
+    own = F.pmod("member", "slices").cast("int")
+    shared = common.checkpoint(salted(banded).join(spread(held.select("band", "key", "held", "slices")), keys).select("member", "fp", "size", "band", "key", "held", "slices", own.alias("slice")))
+    leaders = held.where("slices > 1").select(F.explode("leaders").alias("member"), "band", "key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    seats = shared.select("member", "band", "key", "slice").unionByName(leaders).distinct()
     bodies = rows.select("member", "body").join(shared.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"])
-    sides = F.ceil(F.col("x.held") / SIDE).cast("int")
-    own = F.pmod(F.col("member"), sides).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), sides - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    dealt = bodies.join(wanted, "member").select("member", "body", F.explode("at").alias("x")).select("member", "body", "x.band", "x.key", F.explode(pairs).alias("side"))
-    buckets = dealt.groupBy("band", "key", "side").agg(F.collect_list(F.struct("member", "body")).alias("all")).where(F.size("all") > 1)
+    groups = bodies.join(seats, "member").groupBy("band", "key", "slice").agg(F.collect_list(F.struct("member", "body")).alias("all")).where(F.size("all") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for all_ in batch.column(0).to_pylist():
-                all_.sort(key=lambda m: m["member"])
-                out += [(all_[i]["member"], all_[j]["member"]) for i, j in similar_forest([m["body"] for m in all_], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+            for all_ in batch.column(0):
+                at = sorted(((m["member"], m["body"]) for m in all_.as_py()), key=lambda m: m[0])
+                out += [(at[i][0], at[j][0]) for i, j in similar_forest([m[1] for m in at], similarity)]
+            yield edges_batch(out)
+
+    edges = common.checkpoint(groups.select("all").mapInArrow(compare, "a long, b long").distinct())
+    linked = components(edges)
+    if held.where("slices > 1").isEmpty():
+        return grouped(rows, members, linked, id_col)
+    # bands of several slices whose members aren't all joined
+    placed = shared.where("slices > 1").join(linked, F.col("member") == F.col("node"), "left").select("member", "fp", "size", "band", "key", "held", "slice", F.coalesce("root", "member").alias("component"))
+    placed = placed.join(members.select("member", "minima"), "member")
+    placed = common.checkpoint(placed)
+    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
+    left = salted(placed).join(spread(open_), keys).drop("salt")
+    sides = F.ceil(F.col("held") / WIDE).cast("int")
+    mine = F.pmod(F.xxhash64("member", F.lit(1)), sides).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), sides - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
+    dealt = left.select("band", "key", mine.alias("mine"), F.explode(blocks).alias("side"), F.struct("member", "fp", "component", "slice", "size", "minima").alias("m"))
+    dealt = dealt.groupBy("band", "key", "side").agg(F.collect_list(F.struct("mine", "m")).alias("all"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for side, all_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+                split: dict[int, list] = {side["i"]: [], side["j"]: []}
+                for x in all_.as_py():
+                    m = x["m"]
+                    split[x["mine"]].append((m["member"], m["fp"] & (1 << 64) - 1, m["component"], m["slice"], m["size"], m["minima"]))
+                yield edges_batch(far_pairs(split[side["i"]], None if side["i"] == side["j"] else split[side["j"]], FAR, similarity))
 
-    linked = components(buckets.select("all").mapInArrow(compare, "a long, b long"))
+    pairs = dealt.select("side", "all").mapInArrow(candidates, "a long, b long").distinct()
+    both = pairs.join(bodies.select(F.col("member").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("member").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            yield edges_batch([(p, q) for p, q, s, t in zip(a, b, x, y) if similar(s, t, similarity)])
+
+    more = common.checkpoint(both.mapInArrow(verify, "a long, b long"))
+    if not more.isEmpty():
+        linked = components(edges.union(more))
+    return grouped(rows, members, linked, id_col)
+
+
+def grouped(rows: DataFrame, members: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
+    """id and component_id of each row from its member's component."""
     rooted = members.join(linked, members["member"] == linked["node"], "left").select("member", "least_id", F.coalesce("root", "member").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rows.select(id_col, "member").join(rooted.join(least, "root").select("member", "component_id"), "member").select(id_col, "component_id")
 
 
+def edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+
 def op7_simhash(spark, sf_dir):
     return near_duplicates(common.table(spark, sf_dir, "documents"))
