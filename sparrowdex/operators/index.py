@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import Analyzer
 
 
+#: Terms that a filter may list.
+KNOWN = 1000
+
+
 @dataclass
 class Index:
     """Documents with fields, and how to analyze them.
@@ -33,9 +37,17 @@ class Index:
         rows = self.tokens().select("ext_id", "field", F.posexplode("tokens").alias("pos", "term"))
         return rows.where(self.analyzer.is_indexed(F.col("term")))
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """field, term, ext_id, tf, positions."""
-        rows = self.occurrences()
+    def postings(self, terms: DataFrame | None = None, known: set[tuple[str, str]] | None = None) -> DataFrame:
+        """field, term, ext_id, tf, positions.
+
+        ``known`` states the same terms as (field, term) where the driver has them: other tokens then never leave their array.
+        """
+        if known is not None and len(known) <= KNOWN:
+            found = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: x["term"].isin(*sorted({t for _, t in known})))
+            rows = self.tokens().where(F.col("field").isin(*sorted({f for f, _ in known}))).select("ext_id", "field", F.explode(found).alias("x")).select("ext_id", "field", "x.pos", "x.term")
+            rows = rows.where(self.analyzer.is_indexed(F.col("term")))
+        else:
+            rows = self.occurrences()
         if terms is not None:
             rows = rows.join(F.broadcast(terms.select("field", "term").distinct()), ["field", "term"], "left_semi")
         rows = rows.groupBy("field", "term", "ext_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -76,8 +88,10 @@ class SavedIndex(Index):
         super().__init__(spark.read.parquet(f"{path}/docs"), fields, analyzer)
         self._postings, self._lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+    def postings(self, terms: DataFrame | None = None, known: set[tuple[str, str]] | None = None) -> DataFrame:
         rows = self._postings.select("field", "term", "ext_id", "tf", "positions")
+        if known is not None and len(known) <= KNOWN:  # reaches the files: partitions by field, row groups by term
+            rows = rows.where(F.col("field").isin(*sorted({f for f, _ in known})) & F.col("term").isin(*sorted({t for _, t in known})))
         return rows if terms is None else rows.join(F.broadcast(terms.select("field", "term").distinct()), ["field", "term"], "left_semi")
 
     def lexicon(self) -> DataFrame:

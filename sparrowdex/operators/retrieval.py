@@ -82,7 +82,7 @@ def _evaluate(index: Index, rows: list[tuple], model: Model) -> DataFrame:
     spark = index.docs.sparkSession
     made = lambda keep: F.broadcast(spark.createDataFrame([r for r in rows if keep(r)], NODE_SCHEMA))
     leaf = made(lambda r: r[5] == "term")
-    postings = index.postings(leaf)
+    postings = index.postings(leaf, {(r[8], r[9]) for r in rows if r[5] == "term"})
     lists = leaf.join(postings, ["field", "term"]).select("qid", "node", "parent", "arg", "ext_id", "positions")
     levels = sorted({r[4] for r in rows})
     # positional operators, from the terms up
