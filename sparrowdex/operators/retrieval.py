@@ -83,7 +83,9 @@ def _evaluate(index: Index, rows: list[tuple], model: Model) -> DataFrame:
     made = lambda keep: F.broadcast(spark.createDataFrame([r for r in rows if keep(r)], NODE_SCHEMA))
     leaf = made(lambda r: r[5] == "term")
     postings = index.postings(leaf, {(r[8], r[9]) for r in rows if r[5] == "term"})
-    lists = leaf.join(postings, ["field", "term"]).select("qid", "node", "parent", "arg", "ext_id", "positions")
+    readers = lambda kept: {(r[0], r[2]) for r in kept}
+    # frames of each level stay apart, each with the nodes that read it, so that a level reads only its arguments
+    lists = [(readers(r for r in rows if r[5] == "term"), leaf.join(postings, ["field", "term"]).select("qid", "node", "parent", "arg", "ext_id", "positions"))]
     levels = sorted({r[4] for r in rows})
     # positional operators, from the terms up
     for level in levels:
@@ -91,7 +93,7 @@ def _evaluate(index: Index, rows: list[tuple], model: Model) -> DataFrame:
         if not here:
             continue
         nodes = made(lambda r, here=here: r in here).select("qid", F.col("node").alias("op_node"), "op", "distance", "n_args", F.col("parent").alias("up"), F.col("arg").alias("up_arg"))
-        below = lists.withColumnRenamed("parent", "op_node").join(nodes, ["qid", "op_node"])
+        below = _read(lists, here).withColumnRenamed("parent", "op_node").join(nodes, ["qid", "op_node"])
         grouped = below.groupBy("qid", "op_node", "op", "distance", "n_args", "up", "up_arg", "ext_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("arg", "positions"))), lambda x: x["positions"]).alias("args"))
         grouped = grouped.where((F.col("op") == "syn") | (F.size("args") == F.col("n_args")))
         kinds = {r[5] for r in here}
@@ -100,22 +102,33 @@ def _evaluate(index: Index, rows: list[tuple], model: Model) -> DataFrame:
             if kind in kinds:
                 places = F.when(F.col("op") == kind, fold()).otherwise(places)
         found = grouped.select("qid", F.col("op_node").alias("node"), F.col("up").alias("parent"), F.col("up_arg").alias("arg"), "ext_id", places.alias("positions")).where(F.size("positions") > 0)
-        lists = lists.unionByName(found)
+        lists.append((readers(here), found))
     score_nodes = made(lambda r: r[5] == "score").select("qid", F.col("node").alias("op_node"), "field", "weight", F.col("parent").alias("up"), F.col("arg").alias("up_arg"))
-    hits = lists.withColumnRenamed("parent", "op_node").join(score_nodes, ["qid", "op_node"]).select("qid", "op_node", "field", "weight", "up", "ext_id", F.size("positions").cast("double").alias("tf"))
+    leaves = [r for r in rows if r[5] == "score"]
+    hits = _read(lists, leaves).withColumnRenamed("parent", "op_node").join(score_nodes, ["qid", "op_node"]).select("qid", "op_node", "field", "weight", "up", "ext_id", F.size("positions").cast("double").alias("tf"))
     scores = hits.select("qid", F.col("op_node").alias("node"), F.col("up").alias("parent"), "weight", "ext_id", score(index, hits, model).alias("score")) if model.name != "BM25" else bm25(index, hits, model)
+    scores = [(readers(leaves), scores)]
     # score operators
     for level in levels:
         here = [r for r in rows if r[4] == level and r[5] in ("and", "or", "sum", "wsum")]
         if not here:
             continue
         nodes = made(lambda r, here=here: r in here).select("qid", F.col("node").alias("op_node"), "op", "n_args", F.col("parent").alias("up"), F.col("weight").alias("up_weight"))
-        below = scores.withColumnRenamed("parent", "op_node").join(nodes, ["qid", "op_node"])
+        below = _read(scores, here).withColumnRenamed("parent", "op_node").join(nodes, ["qid", "op_node"])
         grouped = below.groupBy("qid", "op_node", "op", "n_args", "up", "up_weight", "ext_id").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"), F.sum("score").alias("total"), F.sum(F.col("weight") * F.col("score")).alias("weighted"))
         value = F.when(F.col("op") == "and", F.col("least")).when(F.col("op") == "or", F.col("most")).when(F.col("op") == "sum", F.col("total")).otherwise(F.col("weighted"))
         grouped = grouped.where((F.col("op") != "and") | (F.col("n") == F.col("n_args")))
-        scores = scores.unionByName(grouped.select("qid", F.col("op_node").alias("node"), F.col("up").alias("parent"), F.col("up_weight").alias("weight"), "ext_id", value.alias("score")))
-    return scores.where("parent = -1").select("qid", "ext_id", "score")
+        scores.append((readers(here), grouped.select("qid", F.col("op_node").alias("node"), F.col("up").alias("parent"), F.col("up_weight").alias("weight"), "ext_id", value.alias("score"))))
+    return _read(scores, [(q, -1) for q in {r[0] for r in rows}]).where("parent = -1").select("qid", "ext_id", "score")
+
+
+def _read(frames: list[tuple[set, DataFrame]], nodes: list[tuple]) -> DataFrame:
+    """The frames that hold arguments of some nodes (qid, node, ...), together."""
+    wanted, out = {(n[0], n[1]) for n in nodes}, None
+    for by, frame in frames:
+        if by & wanted:
+            out = frame if out is None else out.unionByName(frame)
+    return out
 
 
 def score(index: Index, hits: DataFrame, model: Model):
