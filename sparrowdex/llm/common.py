@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +80,32 @@ def utf8(texts: list) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in texts]
 
 
+def together(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The first ``n`` columns' values and the other columns' rows of each run of rows that agree in these; runs go on over batches."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:n] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:n], []
+            rows.append(row[n:])
+    if rows:
+        yield now, rows
+
+
+def tidy(work):
+    """``work`` on Arrow batches, after which freed memory goes back to the system: workers that wait for their next task would hold it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
 class Memo(dict):
     """A dictionary that makes what it lacks; beyond ``most`` entries it becomes the older of two generations, whose entries in use move on."""
 

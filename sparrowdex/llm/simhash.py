@@ -329,7 +329,7 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
             keys = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(signed([k for r in rows for k in r[2]])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([r[1] for r in rows])), keys, pa.array(signed([r[3] for r in rows])), pa.array([r[4] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.binary())], [id_col, "member", "keys", "fp", "minima", "body"])
 
-    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(sketch, f"{id_col} {id_type}, member long, keys array<long>, fp long, minima binary, body binary"), "sketches")
+    rows, _ = common.keep_written(df.select(id_col, text_col).mapInArrow(common.tidy(sketch), f"{id_col} {id_type}, member long, keys array<long>, fp long, minima binary, body binary"), "sketches")
     # equal bodies may come from other 64-bit hashes that agree in 32 bits: one of their fingerprints serves all
     members = common.checkpoint(rows.groupBy("member").agg(F.min(id_col).alias("least_id"), F.min("keys").alias("keys"), F.min("fp").alias("fp"), F.min("minima").alias("minima"), F.max(F.octet_length("body")).alias("size")))
     banded = members.select("member", "fp", "size", F.posexplode("keys").alias("band", "key"))
@@ -345,17 +345,15 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     leaders = held.where("slices > 1").select(F.explode("leaders").alias("member"), "band", "key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     seats = shared.select("member", "band", "key", "slice").unionByName(leaders).distinct()
     bodies = rows.select("member", "body").join(shared.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"])
-    groups = bodies.join(seats, "member").groupBy("band", "key", "slice").agg(F.collect_list(F.struct("member", "body")).alias("all")).where(F.size("all") > 1)
+    # sorted rows stream to Python: no list of a slice's sets is built in the JVM
+    seated = bodies.join(seats, "member").repartition("key", "band", "slice").sortWithinPartitions("key", "band", "slice", "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for all_ in batch.column(0):
-                at = sorted(((m["member"], m["body"]) for m in all_.as_py()), key=lambda m: m[0])
-                out += [(at[i][0], at[j][0]) for i, j in similar_forest([m[1] for m in at], similarity)]
-            yield edges_batch(out)
+        for _, at in common.together(batches, 3):
+            if len(at) > 1:
+                yield edges_batch([(at[i][0], at[j][0]) for i, j in similar_forest([m[1] for m in at], similarity)])
 
-    edges = common.checkpoint(groups.select("all").mapInArrow(compare, "a long, b long").distinct())
+    edges = common.checkpoint(seated.select("key", "band", "slice", "member", "body").mapInArrow(common.tidy(compare), "a long, b long").distinct())
     linked = components(edges)
     if held.where("slices > 1").isEmpty():
         return grouped(rows, members, linked, id_col)
@@ -368,19 +366,18 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     sides = F.ceil(F.col("held") / WIDE).cast("int")
     mine = F.pmod(F.xxhash64("member", F.lit(1)), sides).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), sides - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
-    dealt = left.select("band", "key", mine.alias("mine"), F.explode(blocks).alias("side"), F.struct("member", "fp", "component", "slice", "size", "minima").alias("m"))
-    dealt = dealt.groupBy("band", "key", "side").agg(F.collect_list(F.struct("mine", "m")).alias("all"))
+    dealt = left.select("key", "band", F.explode(blocks).alias("side"), mine.alias("mine"), "member", "fp", "component", "slice", "size", "minima")
+    dealt = dealt.select("key", "band", "side.i", "side.j", "mine", "member", "fp", "component", "slice", "size", "minima")
+    dealt = dealt.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "member")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for side, all_ in zip(batch.column(0).to_pylist(), batch.column(1)):
-                split: dict[int, list] = {side["i"]: [], side["j"]: []}
-                for x in all_.as_py():
-                    m = x["m"]
-                    split[x["mine"]].append((m["member"], m["fp"] & (1 << 64) - 1, m["component"], m["slice"], m["size"], m["minima"]))
-                yield edges_batch(far_pairs(split[side["i"]], None if side["i"] == side["j"] else split[side["j"]], FAR, similarity))
-
-    pairs = dealt.select("side", "all").mapInArrow(candidates, "a long, b long").distinct()
+        for (_, _, i, j), all_ in common.together(batches, 4):
+            split: dict[int, list] = {i: [], j: []}
+            for mine, member, fp, *rest in all_:
+                split[mine].append((member, fp & (1 << 64) - 1, *rest))
+            yield edges_batch(far_pairs(split[i], None if i == j else split[j], FAR, similarity))
+
+    pairs = dealt.mapInArrow(common.tidy(candidates), "a long, b long").distinct()
     both = pairs.join(bodies.select(F.col("member").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("member").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +385,7 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             yield edges_batch([(p, q) for p, q, s, t in zip(a, b, x, y) if similar(s, t, similarity)])
 
-    more = common.checkpoint(both.mapInArrow(verify, "a long, b long"))
+    more = common.checkpoint(both.mapInArrow(common.tidy(verify), "a long, b long"))
     if not more.isEmpty():
         linked = components(edges.union(more))
     return grouped(rows, members, linked, id_col)
