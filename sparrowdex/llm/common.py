@@ -41,6 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark removes the shuffle files of plans that nothing refers to any more.
+
+    Otherwise they stay on the executors' disks until the driver happens to run short of memory.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

@@ -354,13 +354,16 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
                 yield edges_batch([(at[i][0], at[j][0]) for i, j in similar_forest([m[1] for m in at], similarity)])
 
     edges = common.checkpoint(seated.select("key", "band", "slice", "member", "body").mapInArrow(common.tidy(compare), "a long, b long").distinct())
+    common.sweep(spark)
     linked = components(edges)
+    common.sweep(spark)
     if held.where("slices > 1").isEmpty():
         return grouped(rows, members, linked, id_col)
     # bands of several slices whose members aren't all joined
     placed = shared.where("slices > 1").join(linked, F.col("member") == F.col("node"), "left").select("member", "fp", "size", "band", "key", "held", "slice", F.coalesce("root", "member").alias("component"))
     placed = placed.join(members.select("member", "minima"), "member")
     placed = common.checkpoint(placed)
+    common.sweep(spark)
     open_ = placed.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
     left = salted(placed).join(spread(open_), keys).drop("salt")
     sides = F.ceil(F.col("held") / WIDE).cast("int")
@@ -377,7 +380,11 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
                 split[mine].append((member, fp & (1 << 64) - 1, *rest))
             yield edges_batch(far_pairs(split[i], None if i == j else split[j], FAR, similarity))
 
-    pairs = dealt.mapInArrow(common.tidy(candidates), "a long, b long").distinct()
+    # written, so that Spark knows their size; the sets of no other members are read
+    pairs, _ = common.keep_written(dealt.mapInArrow(common.tidy(candidates), "a long, b long").distinct(), "pairs")
+    common.sweep(spark)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    bodies = rows.select("member", "body").join(asked, "member", "left_semi").dropDuplicates(["member"])
     both = pairs.join(bodies.select(F.col("member").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("member").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +393,10 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
             yield edges_batch([(p, q) for p, q, s, t in zip(a, b, x, y) if similar(s, t, similarity)])
 
     more = common.checkpoint(both.mapInArrow(common.tidy(verify), "a long, b long"))
+    common.sweep(spark)
     if not more.isEmpty():
         linked = components(edges.union(more))
+        common.sweep(spark)
     return grouped(rows, members, linked, id_col)
 
 
