@@ -105,10 +105,8 @@ class WordEncoder:
         ids = list(map(known.get, words))
         lost = [i for i, x in enumerate(ids) if x is None]
         new = {words[i] for i in lost}
-        made: dict[bytes, bytes] = {}
-        if before:
-            made = {w: x for w in new if (x := before.get(w)) is not None}
-            new.difference_update(made)
+        made = {w: before[w] for w in new if w in before}
+        new.difference_update(made)
         plain, other, ended = set(), set(), []
         for w in new:
             if w.isalpha():
@@ -122,13 +120,14 @@ class WordEncoder:
                     ended.append((w, len(base)))
             else:
                 other.add(w)
-        kept = lambda w: known.get(w) or made.get(w) or before.get(w)
-        plain, other = [w for w in plain if not kept(w)], [w for w in other if not kept(w)]
-        made.update(zip(plain, self._word_ids(plain)))
-        made.update(zip(other, self._ids([w.decode() for w in other])))
-        made.update([(w, kept(w[:cut]) + kept(w[cut:])) for w, cut in ended])
+        for words_, ids_of in ((plain, self._word_ids), (other, lambda ws: self._ids([w.decode() for w in ws]))):
+            for memo in (known, before):  # parts of new words
+                made.update([(w, memo[w]) for w in words_ if w in memo])
+            asked = list(words_.difference(made))
+            made.update(zip(asked, ids_of(asked)))
+        made.update([(w, made[w[:cut]] + made[w[cut:]]) for w, cut in ended])
         for i in lost:
-            ids[i] = made[words[i]] if words[i] in made else kept(words[i])
+            ids[i] = made[words[i]]
         known.update(made)
         for w in other:
             if len(w) > MEMO_BYTES:
