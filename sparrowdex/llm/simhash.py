@@ -283,18 +283,19 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def far_pairs(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Members of two blocks (of one, if ``right`` is None) that could be similar and weren't compared or joined yet.
+def far_pairs(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of members of two blocks (of one, if ``right`` is None) that could be similar and weren't compared or joined
+    yet, as rows (smaller, larger) of arrays, so that no block's pairs stand in memory at once.
 
     A member is (id, fingerprint, component, slice, size, minima). The other side stands in bit planes.
     """
     other = left if right is None else right
     if not left or not other:
-        return []
+        return
     planes, everyone = planes_of([m[1] for m in other]), (1 << len(other)) - 1
     names, components_, slices, sizes = (np.array([m[k] for m in other], np.int64) for k in (0, 2, 3, 4))
     minima = np.frombuffer(b"".join(m[5] for m in other), np.uint8).reshape(len(other), -1)
-    pairs = []
+    pairs, held = [], 0
     for i, (name, fp, component, part, size, least) in enumerate(left):
         mask = within(fp, planes, everyone, radius)
         if right is None:
@@ -303,8 +304,13 @@ def far_pairs(left: list[tuple], right: list[tuple] | None, radius: int, similar
             j = np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(-(-len(other) // 8), "little"), np.uint8), bitorder="little"))
             j = j[(components_[j] != component) & (slices[j] != part) & (np.minimum(sizes[j], size) >= similarity * np.maximum(sizes[j], size))]
             j = j[(minima[j] == np.frombuffer(least, np.uint8)).sum(1) >= ALIKE]
-            pairs += [(min(name, x), max(name, x)) for x in names[j].tolist()]
-    return pairs
+            pairs.append(np.stack([np.minimum(names[j], name), np.maximum(names[j], name)], 1))
+            held += len(j)
+            if held >= 65_536:
+                yield np.concatenate(pairs)
+                pairs, held = [], 0
+    if held:
+        yield np.concatenate(pairs)
 
 
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +384,8 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
             split: dict[int, list] = {i: [], j: []}
             for mine, member, fp, *rest in all_:
                 split[mine].append((member, fp & (1 << 64) - 1, *rest))
-            yield edges_batch(far_pairs(split[i], None if i == j else split[j], FAR, similarity))
+            for found in far_pairs(split[i], None if i == j else split[j], FAR, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     # written, so that Spark knows their size; the sets of no other members are read
     pairs, _ = common.keep_written(dealt.mapInArrow(common.tidy(candidates), "a long, b long").distinct(), "pairs")
