@@ -242,12 +242,12 @@ def write_store(df: DataFrame, vocabulary: str, path: str, end_id: int | None =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    made = df.select(id_col, text_col).mapInArrow(work, f"kind int, key binary, body binary, {id_col} {id_type}, n_tokens long")
+    made = df.select(id_col, text_col).mapInArrow(common.tidy(work), f"kind int, key binary, body binary, {id_col} {id_type}, n_tokens long")
     made = made.repartition(parts, "key").dropDuplicates(["kind", "key"])
     made.write.partitionBy("kind").option("compression", "lz4").parquet(f"{path}/objects")
     rows = spark.read.schema(made.schema).parquet(f"{path}/objects").where("kind = 2").select(id_col, F.col("body").alias("root"), "n_tokens")
     rows = rows.repartitionByRange(parts, id_col, "root").sortWithinPartitions(id_col, "root").withColumn("part", F.spark_partition_id())
-    rows.mapInArrow(place, f"{id_col} {id_type}, root binary, n_tokens long, part int, before long").write.parquet(f"{path}/documents")
+    rows.mapInArrow(common.tidy(place), f"{id_col} {id_type}, root binary, n_tokens long, part int, before long").write.parquet(f"{path}/documents")
     merkle(objects(spark, path, 0)).withColumn("item", F.lit(item)).write.parquet(f"{path}/manifest")
     common.remove(spark, f"{path}/objects/kind=2")
 
@@ -334,7 +334,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
             columns = [batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(good)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(wide, pa.binary())] * with_ids, ["sha", "n_bytes", "crc", "good"] + ["ids"] * with_ids)
 
-    chunks = objects(spark, path, 0).mapInArrow(digest, "sha binary, n_bytes long, crc long, good boolean" + ", ids binary" * with_ids)
+    chunks = objects(spark, path, 0).mapInArrow(common.tidy(digest), "sha binary, n_bytes long, crc long, good boolean" + ", ids binary" * with_ids)
     recipes = objects(spark, path, 1)
     count = (F.octet_length("body") / 32).cast("int")
     wanted = recipes.where(count > 0).select(F.col("key").alias("root"), (F.sha2("body", 256) == F.lower(F.hex("key"))).alias("named"), F.explode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.col("body").substr(i * 32 + 1, F.lit(32)).alias("sha")))).alias("c"))
@@ -356,7 +356,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
                 total[rows] += n[at]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total // 4), pa.array(out.astype(np.int64)), *batch.columns[4:]], ["root", "intact", "read", "ids_crc32", *batch.schema.names[4:]])
 
-    whole = parts.mapInArrow(combine, "root binary, intact boolean, read long, ids_crc32 long" + ", ids binary" * with_ids)
+    whole = parts.mapInArrow(common.tidy(combine), "root binary, intact boolean, read long, ids_crc32 long" + ", ids binary" * with_ids)
     docs = spark.read.parquet(f"{path}/documents")
     base, total = [], 0
     for r in docs.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each part
