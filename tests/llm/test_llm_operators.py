@@ -412,6 +412,38 @@ def test_paraphrases_long_texts_and_text_ids(spark, sf, monkeypatch):
     assert next(r["at"] for r in found if r["doc_id"] == "long") in range(decontaminate.STREAM - 60, decontaminate.STREAM)
 
 
+def test_the_latent_space_decides_candidates_and_loses_none(spark, sf):
+    """Every window that holds an item is among the candidates, few others are, and without directions all windows are."""
+    d = decontaminate
+    tables = [common.table(spark, sf, n) for n in ("documents", "benchmark")]
+    texts, items = ([r["text"] for r in t.select("text").collect()] for t in tables)
+    rng = np.random.default_rng(3)
+    for text in items:  # kept by four words in five, between repeated words
+        words = [w for w in text.split() if rng.random() < 0.85]
+        texts.append("the " * 40 + " ".join(words) + " and" * 40)
+    space, held = d.fit(*(d.hashed(t.select(F.lit(1).cast("long").alias("row"), "text"), "text") for t in tables))
+    asked = [(j, d.word_ids(t), d.word_ids("")) for j, t in enumerate(items)]
+    block, blind = d.Block(asked, held, space), d.Block(asked, held, d.Space(np.ones(d.BUCKETS), np.zeros((d.BUCKETS, 1))))
+    cells = passed = holding = 0
+    for text in texts:
+        ids = d.word_ids(text)
+        starts = np.arange(0, len(ids), d.STEP)
+        if not len(ids):
+            continue
+        w, of = block.windows(ids, starts, np.zeros(len(starts), np.int64))
+        low = np.append(ids % d.SHARED, d.SHARED)
+        for w, i in zip(w.tolist(), of.tolist()):
+            end = min(starts[w] + (block.steps[i] + 1) * d.STEP, len(ids))
+            window, one = low[None, starts[w] : end], np.array([i])
+            near = bool(block.candidates(window, one)[0])
+            cells, passed = cells + 1, passed + near
+            assert blind.candidates(window, one)[0]
+            if d.verified(asked[i][1], asked[i][2], ids[starts[w] : end]):
+                holding += 1
+                assert near
+    assert holding and passed < holding + 0.05 * cells
+
+
 def test_answers_decide_paraphrases():
     ids = decontaminate.word_ids
     item = "one two three four five six seven eight nine ten answer forty two"
