@@ -1,11 +1,12 @@
 """Class-based bigram language model with Brown classes (operator 9).
 
 The exchange algorithm places units: the ``WORDS`` most frequent words of the training texts, and the other
-words of one shape (last letters, length, kind of characters) as one unit. Its bigram counts are sparse; of
-two units at least one is a frame (one of the ``FRAMES`` most frequent words, or a shape), so their number has
-a fixed bound. Frames move first, one by one, to the class that gives the training text the highest likelihood,
-until a round moves none; the other words are inserted in the order of their counts, and then all units move
-again. Every other word of ``LEAST`` training tokens, however many such words there are, is put into
+words of one shape (last letters, length, kind of characters) as one unit. It counts every bigram of units. The
+``FIRST`` most frequent words and the shapes move first, one by one, to the class that gives the training text the
+highest likelihood, until a round moves none; the other words are inserted in the order of their counts, and then all
+units move again. The bigrams stay in a table that tasks read. Units move in parts of ``PART``: while a part moves, the
+classes of all other units stand still, so the driver needs only the part's own bigrams and its counts beside each class,
+which has a fixed bound, and moves units as if it held all bigrams. Every other word of ``LEAST`` training tokens, however many such words there are, is put into
 the class under which its own contexts are likeliest. Only rarer and unseen words keep their shape's class. All words thus
 have classes, and
 
@@ -39,8 +40,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that are units of their own, the most frequent of these that serve as frames; units of shapes; classes.
-WORDS, FRAMES, SHAPES, CLASSES = 16_000, 500, 512, 48
+#: Words that are units of their own, the most frequent of these that move first; units of shapes; classes.
+WORDS, FIRST, SHAPES, CLASSES = 16_000, 500, 512, 48
+#: Exchange counts bigrams with a shape or one of this many most frequent words: of all words and the end, so it counts all.
+FRAMES = WORDS + 1
+#: Units that move as one part; bigrams of units in a row of their table.
+PART, ROW_PAIRS = 2048, 1 << 16
 #: Rounds of exchange of frames at most, and of all units; weight of the class shares in a class's transitions.
 ROUNDS, ALL_ROUNDS, PRIOR = 12, 1, 48.0
 #: Training tokens of one part of the words' exchange.
@@ -92,21 +97,28 @@ class Model:
 
 
 class Exchange:
-    """The exchange algorithm over sparse bigram counts: ``n`` of unit ``a`` before unit ``b``."""
+    """The exchange algorithm over sparse bigram counts, of some units at a time."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, units: int, classes: int):
+    def __init__(self, units: int, classes: int):
         self.units, self.k = units, classes
-        self.size = np.bincount(a, n, units) + np.bincount(b, n, units)
-        self.order = np.argsort(-self.size, kind="stable")
-        self.own = np.bincount(a[a == b], n[a == b], units)
-        by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        self.after = np.searchsorted(a[by_a], np.arange(units + 1)), b[by_a], n[by_a].astype(float)
-        self.before = np.searchsorted(b[by_b], np.arange(units + 1)), a[by_b], n[by_b].astype(float)
         self.at = np.full(units, -1)
         self.right, self.left = np.zeros((units, classes)), np.zeros((units, classes))  # counts before and after each class
         self.table = np.zeros((classes, classes))
         self.heat = np.zeros((classes, classes))  # the table's entropies
 
+    def load(self, part: np.ndarray, right: np.ndarray | float, left: np.ndarray | float, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        """Take the units that move next: their counts before and after the classes of all other units, and ``n`` of unit ``a``
+        before unit ``b`` among themselves."""
+        self.own = np.bincount(a[a == b], n[a == b], self.units)
+        by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        self.after = np.searchsorted(a[by_a], np.arange(self.units + 1)), b[by_a], n[by_a].astype(float)
+        self.before = np.searchsorted(b[by_b], np.arange(self.units + 1)), a[by_b], n[by_b].astype(float)
+        self.right[part], self.left[part] = right, left
+        for counts, unit, other in ((self.right, a, b), (self.left, b, a)):
+            placed = self.at[other] >= 0
+            cells = unit[placed].astype(np.int64) * self.k + self.at[other[placed]]
+            counts += np.bincount(cells, n[placed], self.units * self.k).reshape(self.units, self.k)
+
     @staticmethod
     def entropy(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1e-300))
@@ -156,40 +168,56 @@ class Exchange:
         for u in units.tolist():
             self.enter(u, self.best(*self._counts(u)))
 
-    def rounds(self, units: np.ndarray, most: int) -> None:
-        """Move units one by one to their best classes until a round moves none."""
-        for _ in range(most):
+    def round(self, units: np.ndarray) -> int:
+        """Move units one by one to their best classes; how many moved."""
+        moved = 0
+        for u in units.tolist():
+            c, (r, l, own) = self.at[u], self._counts(u)
+            self._put(c, r, l, own, -1.0)
+            best = self.best(r, l, own)
+            if best != c:
+                self._shift(u, c, -1.0)
+                r, l = self.right[u].copy(), self.left[u].copy()
+                self._put(best, r, l, own, 1.0)
+                self._shift(u, best, 1.0)
+                self.at[u] = best
+                moved += 1
+            else:
+                self._put(c, r, l, own, 1.0)
+        return moved
+
+    def run(self, size: np.ndarray, first: np.ndarray | None, rounds: int, all_rounds: int, part: int, load) -> np.ndarray:
+        """Classes of all units, given their counts and what loads a part; those without counts are in class 0."""
+        order = np.argsort(-size, kind="stable")
+        seen = order[size[order] > 0]
+        begin = seen if first is None else seen[np.isin(seen, first)]
+        rest = seen[~np.isin(seen, begin)]
+        parts = lambda units: (units[i : i + part] for i in range(0, len(units), part))
+        load(begin)
+        for i, u in enumerate(begin.tolist()):
+            self.enter(u, i % self.k)
+        for _ in range(rounds):
+            if not self.round(begin):
+                break
+        for units in parts(rest):
+            load(units)
+            self.insert(units)
+        for _ in range(all_rounds if len(rest) else 0):
             moved = 0
-            for u in units.tolist():
-                c, (r, l, own) = self.at[u], self._counts(u)
-                self._put(c, r, l, own, -1.0)
-                best = self.best(r, l, own)
-                if best != c:
-                    self._shift(u, c, -1.0)
-                    r, l = self.right[u].copy(), self.left[u].copy()
-                    self._put(best, r, l, own, 1.0)
-                    self._shift(u, best, 1.0)
-                    self.at[u] = best
-                    moved += 1
-                else:
-                    self._put(c, r, l, own, 1.0)
+            for units in parts(seen):
+                load(units)
+                moved += self.round(units)
             if not moved:
                 break
+        return np.maximum(self.at, 0)
 
 
 def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, units: int, classes: int, first: np.ndarray | None = None, rounds: int = ROUNDS, all_rounds: int = ALL_ROUNDS) -> np.ndarray:
     """Classes of units from their sparse bigram counts: units of ``first`` (None: all) move first, then the others are
     inserted and all move. Units without counts are in class 0."""
-    made = Exchange(a, b, n, units, classes)
-    seen = made.order[made.size[made.order] > 0]
-    begin = seen if first is None else seen[np.isin(seen, first)]
-    for i, u in enumerate(begin.tolist()):
-        made.enter(u, i % classes)
-    made.rounds(begin, rounds)
-    if len(begin) < len(seen):
-        made.insert(seen[~np.isin(seen, begin)])
-        made.rounds(seen, all_rounds)
-    return np.maximum(made.at, 0)
+    made = Exchange(units, classes)
+    made.load(np.arange(units), 0.0, 0.0, a, b, n)
+    return made.run(np.bincount(a, n, units) + np.bincount(b, n, units), first, rounds, all_rounds, units, lambda part: None)
 
 
 def _training(held: int, folds: int):
@@ -225,24 +253,30 @@ def word_counts(docs: DataFrame, held: int, folds: int) -> DataFrame:
     return made.groupBy("key").agg(F.sum("c").alias("c"), F.max("shape").alias("shape"))
 
 
-def unit_bigrams(docs: DataFrame, model: Model, frames: int, held: int, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts n of units a before b in training texts, one of the two a frame; a text begins after an end."""
+def unit_bigrams(docs: DataFrame, model: Model, frames: int, held: int, folds: int) -> DataFrame:
+    """Counts of units a before b in training texts, with a shape or one of the first ``frames`` units; a text begins after an end.
+
+    A row has many pairs (a * units + b) and their counts as bytes; no pair is in two rows.
+    """
     training, words, total = _training(held, folds), len(model.units), len(model.units) + SHAPES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.unit_memo()
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
         def add(tokens_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             ids = np.fromiter(map(memo.__getitem__, tokens_), np.int64, len(tokens_))
-            frame = (ids < frames) | (ids >= words)
-            new, n = np.unique((ids[:-1] * total + ids[1:])[frame[:-1] | frame[1:]], return_counts=True)
+            new = (ids[:-1] * total + ids[1:]).astype(np.int32)
+            if frames < words:
+                frame = (ids < frames) | (ids >= words)
+                new = new[frame[:-1] | frame[1:]]
+            new, n = np.unique(new, return_counts=True)
             every, which = np.unique(np.concatenate([pairs, new]), return_inverse=True)
             return every, np.bincount(which, np.concatenate([counts, n]), len(every)).astype(np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for i in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000], pa.int32()), pa.array(counts[i : i + 100_000])], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["pair", "n"])
 
         line: list[bytes] = [END]
         for one, raw in _texts(batches):
@@ -255,10 +289,71 @@ def unit_bigrams(docs: DataFrame, model: Model, frames: int, held: int, folds: i
             pairs, counts = add(line)
         yield from flush()
 
-    found = docs.mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # bounded by units and frames
-    pair, n = found["pair"].to_numpy().astype(np.int64), found["n"].to_numpy()
-    order = np.argsort(pair)
-    return pair[order] // total, pair[order] % total, n[order]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            pair, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            order = np.argsort(pair)
+            return pa.RecordBatch.from_arrays([pa.array([x[order].astype(t).tobytes()], pa.binary()) for x, t in ((pair, "<i4"), (n, "<i8"))], ["pair", "n"])
+
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= ROW_PAIRS:
+                yield row()
+                parts, size = [], 0
+        if size:
+            yield row()
+
+    return docs.mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).mapInArrow(pack, "pair binary, n binary")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Units a and b and the counts of rows of bigrams."""
+    for batch in batches:
+        for pair, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = np.divmod(np.frombuffer(pair, "<i4"), np.int32(total))
+            yield a, b, np.frombuffer(n, "<i8")
+
+
+def exchange_written(bigrams: DataFrame, units: int, classes: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``exchange`` gives for a written table of bigrams, of which only parts come to the driver, and the classes' bigrams."""
+    made = Exchange(units, classes)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(units)
+        for a, b, n in _pairs(batches, units):
+            size += np.bincount(a, n, units) + np.bincount(b, n, units)
+        yield pa.RecordBatch.from_arrays([pa.array([size.tobytes()], pa.binary())], ["size"])
+
+    def load(part: np.ndarray) -> None:
+        local, at, k = np.full(units, -1, np.int32), made.at.astype(np.int32), len(part)
+        local[part] = np.arange(k)
+        outside = np.where(local < 0, at, -1)  # classes of the others
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sides, inner = np.zeros((2, k * classes)), [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+            for a, b, n in _pairs(batches, units):
+                mine = local[a], local[b]
+                for side, (own, other) in enumerate(((mine[0], outside[b]), (mine[1], outside[a]))):
+                    at_ = np.flatnonzero((own >= 0) & (other >= 0))
+                    if len(at_):
+                        sides[side] += np.bincount(own[at_] * classes + other[at_], n[at_], k * classes)
+                at_ = np.flatnonzero((mine[0] >= 0) & (mine[1] >= 0))
+                inner.append((mine[0][at_] * np.int32(k) + mine[1][at_], n[at_]))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sides, *map(np.concatenate, zip(*inner)))], ["sides", "pair", "n"])
+
+        # a row for each task, of which the table's size, bounded by the units, gives some
+        found = bigrams.mapInArrow(work, "sides binary, pair binary, n binary").collect()
+        sides = sum((np.frombuffer(r["sides"]) for r in found), np.zeros(2 * k * classes)).reshape(2, k, classes)
+        pair, n = (np.frombuffer(b"".join(r[x] for r in found), t) for x, t in (("pair", np.int32), ("n", np.int64)))
+        del found
+        order = np.argsort(pair)
+        made.load(part, *sides, part[pair[order] // k], part[pair[order] % k], n[order])
+
+    size = sum((np.frombuffer(r["size"]) for r in bigrams.mapInArrow(sizes, "size binary").collect()), np.zeros(units))
+    return made.run(size, first, ROUNDS, ALL_ROUNDS, PART, load), made.table
 
 
 def _logs(moves: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,11 +397,11 @@ def fit(docs: DataFrame, held: int, folds: int) -> tuple[Model, int, int]:
         counts[units[r["key"]]] = r["c"]
         mass[units[r["key"]]] = r["c"] + 1
         mass[len(units) + r["shape"]] -= r["c"] + 1
-    frames = min(FRAMES, len(units))
-    a, b, times = unit_bigrams(docs, Model(units, counts, None, None, None), frames, held, folds)
     total = len(units) + SHAPES
-    classes = exchange(a, b, times, total, CLASSES, np.append(np.arange(frames), np.arange(len(units), total)))
-    moves = np.bincount(classes[a] * CLASSES + classes[b], times, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    bigrams, path = common.keep_written(unit_bigrams(docs, Model(units, counts, None, None, None), FRAMES, held, folds), "bigrams")
+    common.sweep(docs.sparkSession)  # the shuffles of words and bigrams are done
+    classes, moves = exchange_written(bigrams, total, CLASSES, np.append(np.arange(min(FIRST, FRAMES, len(units))), np.arange(len(units), total)))
+    common.remove(docs.sparkSession, path)
     return Model(units, counts, classes, *_logs(moves, np.bincount(classes, mass, CLASSES) + 1)), n, v
 
 

@@ -528,6 +528,34 @@ def test_rare_words_of_one_shape_get_classes_of_their_contexts(spark):
     assert got[held[0]] > got[held[1]] + 1
 
 
+def test_bigrams_of_two_words_beyond_the_first_ones_decide_classes(spark):
+    """Words whose neighbours are all beyond the most frequent words still get classes from them."""
+    rng, texts = np.random.default_rng(8), [f"f{j}" for j in range(520)] * 30  # 500 words move first
+    for _ in range(150):
+        x, y = rng.integers(0, 30, (2, 4))
+        texts.append(f"g{x[3]} " + " ".join(f"a{i} b{j}" for i, j in zip(x[:3], y[:3])) + f" g{y[3]}")
+    numbers = [i for i in range(2 * len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    asked = [(held[0], "g1 a1 b1 a2 b2 g2"), (held[1], "g1 a1 a2 b1 b2 g2")]
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(spark.createDataFrame([*zip(numbers, texts), *asked], "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
+def test_exchange_in_parts_moves_units_as_one_with_all_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(brown, "PART", 7)  # read on the driver only
+    rng, units, k = np.random.default_rng(9), 40, 5
+    table = rng.integers(0, 9, (units, units)) * (rng.random((units, units)) < 0.4)
+    table[11] = table[:, 11] = 0
+    a, b = np.nonzero(table)
+    n, mixed, first = table[a, b], rng.permutation(len(a)), np.array([0, 1, 2, 3, 38, 39])
+    rows = [((a * units + b)[part].astype("<i4").tobytes(), n[part].astype("<i8").tobytes()) for part in np.array_split(mixed, 6)]
+    for all_rounds in (1, 3):
+        monkeypatch.setattr(brown, "ALL_ROUNDS", all_rounds)
+        at, moves = brown.exchange_written(spark.createDataFrame([(bytearray(x), bytearray(y)) for x, y in rows], "pair binary, n binary").repartition(4), units, k, first)
+        assert at.tolist() == brown.exchange(a, b, n, units, k, first, brown.ROUNDS, all_rounds).tolist()
+        assert moves.ravel().tolist() == np.bincount(at[a] * k + at[b], n, k * k).tolist()
+
+
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(5)
     units, bigrams = 30, rng.integers(0, 20, (30, 30)).astype(float)
