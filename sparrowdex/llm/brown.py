@@ -399,7 +399,6 @@ def fit(docs: DataFrame, held: int, folds: int) -> tuple[Model, int, int]:
         mass[len(units) + r["shape"]] -= r["c"] + 1
     total = len(units) + SHAPES
     bigrams, path = common.keep_written(unit_bigrams(docs, Model(units, counts, None, None, None), FRAMES, held, folds), "bigrams")
-    common.sweep(docs.sparkSession)  # the shuffles of words and bigrams are done
     classes, moves = exchange_written(bigrams, total, CLASSES, np.append(np.arange(min(FIRST, FRAMES, len(units))), np.arange(len(units), total)))
     common.remove(docs.sparkSession, path)
     return Model(units, counts, classes, *_logs(moves, np.bincount(classes, mass, CLASSES) + 1)), n, v
@@ -439,6 +438,7 @@ def score_texts(df: DataFrame, held: int = 2, folds: int = 7, id_col: str = "doc
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     model, n, v = fit(docs, held, folds)
+    common.sweep(spark)  # the shuffles of the fit are done
     shared = spark.sparkContext.broadcast(model)
     training = _training(held, folds)
 
