@@ -102,14 +102,40 @@ def together(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple,
         yield now, rows
 
 
+#: What a worker keeps from task to task, by the module whose work fills it.
+_kept: dict[str, dict] = {}
+
+
+def kept_by(module: str) -> dict:
+    """A dictionary that a worker keeps until other modules' tidy work begins in it."""
+    return _kept.setdefault(module, {})
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def make_room(module: str) -> None:
+    """Drop what other modules' work has kept in this worker."""
+    others = [held for name, held in _kept.items() if name != module and held]
+    for held in others:
+        held.clear()
+    if others:
+        give_back()
+
+
 def tidy(work):
-    """``work`` on Arrow batches, after which freed memory goes back to the system: workers that wait for their next task would hold it."""
+    """``work`` on Arrow batches, before which the worker drops what it keeps for other modules and after which freed memory goes
+    back to the system: workers serve one stage after the other, and those that wait for their next task would hold it."""
+    module = work.__module__
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(module)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return tidied
 

@@ -94,7 +94,7 @@ def hashed(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_ids(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["row", "ids"])
 
-    return docs.select("row", text_col).mapInArrow(work, "row long, ids binary")
+    return docs.select("row", text_col).mapInArrow(common.tidy(work), "row long, ids binary")
 
 
 def _streams(batches: Iterator[pa.RecordBatch], most: int = STREAM, overlap: int = 0) -> Iterator[tuple]:
@@ -151,7 +151,7 @@ def _summed(df: DataFrame, work, size: int) -> np.ndarray:
         return pa.table({"task": data["task"].slice(0, 1), "block": data["block"].slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
     schema, tasks = "task int, block int, part binary", df.rdd.getNumPartitions()
-    level = df.mapInArrow(blocks, schema)
+    level = df.mapInArrow(common.tidy(blocks), schema)
     while True:
         level = level.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task", "block").applyInArrow(add, schema)
         tasks = -(-tasks // FAN)
@@ -306,7 +306,7 @@ def search(rows: DataFrame, space: Space, blocks: list[Block]) -> DataFrame:
                 hits = [(names[d], key, *v) for (d, key), v in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["row", "item", "cosine", "same", "at"])
 
-    return rows.mapInArrow(work, "row long, item long, cosine double, same double, at long")
+    return rows.mapInArrow(common.tidy(work), "row long, item long, cosine double, same double, at long")
 
 
 def shared_words(words: np.ndarray, times: np.ndarray, ids: np.ndarray) -> int:

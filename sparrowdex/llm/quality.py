@@ -172,7 +172,7 @@ def _featured(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
             rows = [features(raw) for raw in common.utf8(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(keep))), pa.array(rows, pa.list_(pa.float64()))], [id_col, *keep, "x"])
 
-    return df.select(id_col, text_col, *keep).mapInArrow(work, f"{id_col} {id_type}{kinds}, x array<double>")
+    return df.select(id_col, text_col, *keep).mapInArrow(common.tidy(work), f"{id_col} {id_type}{kinds}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Additive:
@@ -204,7 +204,7 @@ def score(df: DataFrame, model: Additive, held: int = 1, folds: int = 3, id_col:
             p = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(batch.column(3 + i) for i in range(len(kept)))], [id_col, "held_out", "score", "predicted", *kept])
 
-    return plain.mapInArrow(work, f"{id_col} {id_type}, held_out boolean, score double, predicted int{kinds}")
+    return plain.mapInArrow(common.tidy(work), f"{id_col} {id_type}, held_out boolean, score double, predicted int{kinds}")
 
 
 def op2_quality(spark, sf_dir):

@@ -145,7 +145,7 @@ class WordEncoder:
         return (made.lower() if self.lower else made).isalpha()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = common.kept_by(__name__)
 
 
 def encoder(path: str) -> WordEncoder:

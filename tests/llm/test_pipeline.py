@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparrowdex.llm import common, decontaminate, simhash
+from sparrowdex.llm import common, decontaminate, simhash, token_store
 
 
 def test_pipeline_stages(spark, sf):
@@ -43,3 +44,28 @@ def test_dedup_keeps_rows_with_null_and_repeated_ids(spark, sf):
     out = corpus_pipeline.dedup_stage(spark, docs, sf)
     assert out.columns == corpus_pipeline.COLUMNS
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, None)], key=str)
+
+
+def test_workers_drop_what_other_stages_kept(spark, sf):
+    def begin(module):
+        def work(batches):
+            yield from batches
+
+        work.__module__ = module
+        return list(common.tidy(work)(iter([1])))
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    kept = token_store.encoder(vocabulary)
+    assert begin(token_store.__name__) == [1] and token_store.encoder(vocabulary) is kept
+    assert begin(simhash.__name__) == [1] and token_store.encoder(vocabulary) is not kept
+
+    # in worker processes too, where ``tidy`` comes pickled
+    other = common.tidy(lambda batches: batches)
+
+    def worker(batches):
+        own = token_store.encoder(vocabulary)
+        for batch in other(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([token_store.encoder(vocabulary) is not own] * batch.num_rows)], ["dropped"])
+
+    dropped = [r["dropped"] for r in spark.range(4).mapInArrow(worker, "dropped boolean").collect()]
+    assert len(dropped) == 4 and all(dropped)
