@@ -32,14 +32,27 @@ from . import common
 
 #: Entries of a worker's memo of words; words longer than this many bytes are not kept.
 MEMO_WORDS, MEMO_BYTES = 300_000, 48
+#: Texts whose new words are encoded at a time: those that come again later are known by then.
+TEXTS = 250
 #: Marks after a word that its letters don't join: ASCII ones without the apostrophe, after which letters may be a unit.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
-#: Ids that the rolling hash sees; least, usual and most ids of a chunk.
-WINDOW, LEAST, USUAL, MOST = 8, 64, 512, 2048
+#: Ids that the rolling hash sees (a power of two); least, usual and most ids of a chunk; ids that are hashed at a time.
+WINDOW, LEAST, USUAL, MOST, MARKED = 8, 64, 512, 2048, 1 << 14
 #: Chunk hashes under one leaf of the Merkle tree, about; children of an inner node (2 to this power).
 LEAF, FAN_BITS = 1024, 8
 
 
+class _Known(dict):
+    """Ids of words; words that it lacks are noted, time after time, and have None."""
+
+    def __init__(self):
+        super().__init__()
+        self.lost: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.lost.append(word)
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose units never reach across ASCII white space.
 
@@ -51,7 +64,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -63,24 +76,31 @@ class WordEncoder:
         #: the marks that compose with letters, with small ones perhaps where they don't with large ones.
         self.marks = [t["content"][:2].encode() for t in spec["added_tokens"]] + [b"\xcc", b"\xcd"]
         self.library = Tokenizer.from_file(path)
+        #: Without the steps that leave words of small ASCII letters as they are, if the settings have no others; else None.
+        self.small = None
+        split = [a for a in steps[0].get("pattern", {}).get("Regex", "").split("|") if not a.startswith("'")] if dropped else []
+        as_is = split[:1] in (["[\\p{L}]+"], ["\\p{L}+"]) and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
+        as_is &= all(n.get("type") in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": "\\s+"} for n in (spec["normalizer"] or {}).get("normalizers", []))
+        if self.by_word and as_is and not spec["post_processor"] and not any(t["content"].isalpha() for t in spec["added_tokens"]):
+            self.small = Tokenizer(self.library.model)
+            self.small.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab, suffix = self.library.get_vocab(), spec["model"].get("end_of_word_suffix")
         #: Ids that end a unit, if the vocabulary marks these.
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.kind = "<u2" if len(self.ends) <= 65_536 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.known, self.before = _Known(), _Known()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+    def _word_ids(self, words: list[bytes], library) -> list[bytes]:
         """Ids of words of letters only, many in one text: each is one unit and so ends at the first id
         that ends a unit. A group where the ends don't number the words is encoded word by word."""
         out: list[bytes] = []
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, found in zip(groups, self.library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+        for group, found in zip(groups, library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
             if len(stops) == len(group):
@@ -94,17 +114,21 @@ class WordEncoder:
         """Ids of each UTF-8 text as little-endian integers of ``kind``."""
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
+        return [ids for i in range(0, len(texts), TEXTS) for ids in self._encode(texts[i : i + TEXTS])]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > MEMO_WORDS:  # two generations: words in use move on
-            self.before, self.known = self.known, {}
+            self.before, self.known = self.known, _Known()
         known, before = self.known, self.before
-        words: list[bytes] = []
-        stops = [0]
-        for t in texts:
-            words += (t.lower() if self.lower and not any(m in t for m in self.marks) else t).split()
-            stops.append(len(words))
-        ids = list(map(known.get, words))
-        lost = [i for i, x in enumerate(ids) if x is None]
-        new = {words[i] for i in lost}
+        known.lost = lost = []
+        rows: list[tuple] = []
+        for t in texts:  # one text's words at a time, which the processor's caches hold
+            n = len(lost)
+            ids = list(map(known.__getitem__, (t.lower() if self.lower and not any(m in t for m in self.marks) else t).split()))
+            rows.append((ids, True) if len(lost) > n else (b"".join(ids), False))
+        if not lost:
+            return [ids for ids, _ in rows]
+        new = set(lost)
         made = {w: before[w] for w in new if w in before}
         new.difference_update(made)
         plain, other, ended = set(), set(), []
@@ -113,26 +137,27 @@ class WordEncoder:
                 plain.add(w)
                 continue
             base = w.rstrip(MARKS)
-            if self.letters(base):
+            if base.isalpha() or self.letters(base):
                 plain.add(base)
                 if len(base) < len(w):
                     other.add(w[len(base) :])
                     ended.append((w, len(base)))
             else:
                 other.add(w)
-        for words_, ids_of in ((plain, self._word_ids), (other, lambda ws: self._ids([w.decode() for w in ws]))):
+        small = {w for w in plain if w.isalpha() and w.islower()} if self.small else set()
+        of_small, of_plain = (lambda ws, library=library: self._word_ids(ws, library) for library in (self.small, self.library))
+        for words_, ids_of in ((small, of_small), (plain - small, of_plain), (other, lambda ws: self._ids([w.decode() for w in ws]))):
             for memo in (known, before):  # parts of new words
                 made.update([(w, memo[w]) for w in words_ if w in memo])
             asked = list(words_.difference(made))
             made.update(zip(asked, ids_of(asked)))
         made.update([(w, made[w[:cut]] + made[w[cut:]]) for w, cut in ended])
-        for i in lost:
-            ids[i] = made[words[i]]
         known.update(made)
         for w in other:
             if len(w) > MEMO_BYTES:
                 del known[w]
-        return [b"".join(ids[a:b]) for a, b in zip(stops, stops[1:])]
+        found = map(made.__getitem__, lost)
+        return [b"".join([next(found) if x is None else x for x in ids]) if some else ids for ids, some in rows]
 
     def letters(self, word: bytes) -> bool:
         """Whether a word is letters only, before and after the library normalizes it, and so one unit that marks don't join."""
@@ -158,10 +183,18 @@ def marks(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the last ``WINDOW`` ids asks for a cut."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolled = mixed.copy()
-    for j in range(1, WINDOW):
-        rolled[j:] += mixed[:-j] * np.uint64(pow(0xBF58476D1CE4E5B9, j, 1 << 64))
-    return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(USUAL - LEAST) == 0) + 1
+    usual, found = np.uint32(USUAL - LEAST), [np.zeros(0, np.int64)]
+    for start in range(0, len(ids), MARKED):
+        before = min(WINDOW - 1, start)
+        rolled = mixed[start - before : start + MARKED]
+        step = 1
+        while step < WINDOW:  # sums over twice as many ids
+            wide = rolled.copy()
+            wide[step:] += rolled[:-step] * np.uint64(pow(0xBF58476D1CE4E5B9, step, 1 << 64))
+            rolled, step = wide, 2 * step
+        high = (rolled[before:] >> np.uint64(40)).astype(np.uint32)
+        found.append(np.flatnonzero(high // usual * usual == high) + start + 1)
+    return np.concatenate(found)
 
 
 def cuts(marked: list[int], n: int) -> list[int]:

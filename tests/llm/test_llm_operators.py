@@ -4,6 +4,7 @@ columns with clashing names."""
 import hashlib
 import math
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -623,3 +624,31 @@ def test_chunks_follow_content():
     assert len(set(a) & set(b)) > 0.9 * len(a) and max(map(len, a)) <= token_store.MOST * body.itemsize
     both = token_store.joined_crc(np.array([zlib.crc32(b"abc"), 0]), np.array([zlib.crc32(b"defg"), zlib.crc32(b"x")]), np.array([4, 1]), token_store._shift_tables())
     assert both.tolist() == [zlib.crc32(b"abcdefg"), zlib.crc32(b"x")]
+
+
+def test_words_are_looked_up_a_text_at_a_time():
+    enc = token_store.WordEncoder(WORD)
+    texts = [b" ".join(b"word%d," % ((i * 31 + k * k) % 5000) for k in range(2000)) for i in range(200)]
+    first = enc.encode(texts)
+    tracemalloc.start()
+    try:
+        again = enc.encode(texts)
+        held = tracemalloc.get_traced_memory()[1] - sum(map(len, again))
+    finally:
+        tracemalloc.stop()
+    assert again == first and held < 2_000_000  # 400,000 words take over 16 MB
+    # words of small letters by the shorter way, others by the library's, and words that come again before they are known
+    odd = ["Naïve naïve café CAFÉ don't x1y z's, Zebra zebra. ΣΑΣ ſt <|endoftext|> zebra", "", "Zebra zebra zebra, qua qua", "ﬁ İstanbul é, é. 'tis"] * 120
+    odd = [f"{t} {'abcdefghij'[n % 10] * (n % 7)}{n}" for n, t in enumerate(odd)]
+    library = Tokenizer.from_file(WORD)
+    assert token_store.WordEncoder(WORD).encode([t.encode() for t in odd]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in odd]
+    assert enc.small and enc._word_ids([b"zebra", b"quagga", b"a"], enc.small) == enc._word_ids([b"zebra", b"quagga", b"a"], enc.library)
+
+
+def test_marks_are_the_rolling_hash_of_each_place():
+    ids, mask = np.random.default_rng(3).integers(49_000, size=2 * token_store.MARKED + 1000).astype("<u2"), (1 << 64) - 1
+    mixed = [x ^ x >> 29 for x in ((int(i) + 1) * 0x9E3779B97F4A7C15 & mask for i in ids)]
+    rolled = [sum(mixed[i - j] * pow(0xBF58476D1CE4E5B9, j) for j in range(min(token_store.WINDOW, i + 1))) & mask for i in range(len(ids))]
+    want = [i + 1 for i, x in enumerate(rolled) if (x >> 40) % (token_store.USUAL - token_store.LEAST) == 0]
+    assert token_store.marks(ids).tolist() == want
+    assert token_store.marks(ids[:0]).tolist() == []
