@@ -46,6 +46,8 @@ WORDS, FIRST, SHAPES, CLASSES = 16_000, 500, 512, 48
 FRAMES = WORDS + 1
 #: Units that move as one part; bigrams of units in a row of their table.
 PART, ROW_PAIRS = 2048, 1 << 16
+#: Deals of the pairs at least; each is summed in one task.
+DEALS = 16
 #: Rounds of exchange of frames at most, and of all units; weight of the class shares in a class's transitions.
 ROUNDS, ALL_ROUNDS, PRIOR = 12, 1, 48.0
 #: Training tokens of one part of the words' exchange.
@@ -86,8 +88,24 @@ class Model:
         self.units, self.counts, self.classes, self.log_move, self.log_mass = units, counts, classes, log_move, log_mass
 
     def unit_memo(self) -> common.Memo:
-        own, n = self.units, len(self.units)
-        return common.Memo(lambda w: own[k] if (k := word_key(w)) in own else n + shape(w), MEMO)
+        own, n, digest = {k & (1 << 64) - 1: i for k, i in self.units.items()}, len(self.units), xxhash.xxh64_intdigest
+
+        def make(w: bytes) -> int:
+            unit = own.get(digest(w, SEED))
+            return n + shape(w) if unit is None else unit
+
+        return common.Memo(make, MEMO)
+
+    def units_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and units of many distinct words."""
+        keys = np.fromiter(map(word_key, words), np.int64, len(words))
+        own = np.fromiter(self.units, np.int64, len(self.units))
+        order = np.argsort(own)
+        at = order[np.minimum(np.searchsorted(own, keys, sorter=order), len(own) - 1)]
+        units = np.fromiter(self.units.values(), np.int64, len(own))[at]
+        others = np.flatnonzero(own[at] != keys)
+        units[others] = np.fromiter((len(own) + shape(words[i]) for i in others.tolist()), np.int64, len(others))
+        return keys, units
 
     def class_score(self, classes: np.ndarray) -> float:
         """Sum of log10 P(class | class before) / (mass + 1): all of the model but the words' counts."""
@@ -259,54 +277,63 @@ def unit_bigrams(docs: DataFrame, model: Model, frames: int, held: int, folds: i
     A row has many pairs (a * units + b) and their counts as bytes; no pair is in two rows.
     """
     training, words, total = _training(held, folds), len(model.units), len(model.units) + SHAPES
+    deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), DEALS)
+
+    def merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, which = np.unique(np.concatenate(pairs), return_inverse=True)
+        return every, np.bincount(which, np.concatenate(counts), len(every)).astype(np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.unit_memo()
+        end = np.array([memo[END]])
         pairs, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        line, size = [end], 0
 
-        def add(tokens_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.fromiter(map(memo.__getitem__, tokens_), np.int64, len(tokens_))
+        def add() -> tuple[np.ndarray, np.ndarray]:
+            ids = np.concatenate(line)
             new = (ids[:-1] * total + ids[1:]).astype(np.int32)
             if frames < words:
                 frame = (ids < frames) | (ids >= words)
                 new = new[frame[:-1] | frame[1:]]
             new, n = np.unique(new, return_counts=True)
-            every, which = np.unique(np.concatenate([pairs, new]), return_inverse=True)
-            return every, np.bincount(which, np.concatenate([counts, n]), len(every)).astype(np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["pair", "n"])
+            return merged([pairs, new], [counts, n])
 
-        line: list[bytes] = [END]
         for one, raw in _texts(batches):
             if training(one):
-                line += tokens(raw)
-                if len(line) > 1_000_000:
-                    pairs, counts = add(line)
-                    line = [END]
-        if len(line) > 1:
-            pairs, counts = add(line)
-        yield from flush()
+                own = tokens(raw)
+                line.append(np.fromiter(map(memo.__getitem__, own), np.int64, len(own)))
+                size += len(own)
+                if size > 1_000_000:
+                    pairs, counts = add()
+                    line, size = [end], 0
+        if size:
+            pairs, counts = add()
+        # a row for each deal of the pairs: their number doesn't matter to Spark
+        deal = pairs % deals
+        order = np.argsort(deal, kind="stable")
+        stops = np.searchsorted(deal[order], np.arange(deals + 1))
+        for k in range(deals):
+            for i in range(stops[k], stops[k + 1], ROW_PAIRS):
+                at = order[i : min(i + ROW_PAIRS, stops[k + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (pairs, counts))], ["deal", "pair", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-
-        def row() -> pa.RecordBatch:
-            pair, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            order = np.argsort(pair)
-            return pa.RecordBatch.from_arrays([pa.array([x[order].astype(t).tobytes()], pa.binary()) for x, t in ((pair, "<i4"), (n, "<i8"))], ["pair", "n"])
-
+        held_: dict[int, tuple[list, list, int]] = {}
         for batch in batches:
-            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            size += batch.num_rows
-            if size >= ROW_PAIRS:
-                yield row()
-                parts, size = [], 0
-        if size:
-            yield row()
-
-    return docs.mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).mapInArrow(pack, "pair binary, n binary")
+            for k, pair, n in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs, counts, done = held_.get(k, ([], [], 0))
+                pairs, counts = [*pairs, np.frombuffer(pair, "<i4")], [*counts, np.frombuffer(n, "<i8")]
+                if sum(map(len, pairs)) > 2 * done + ROW_PAIRS:  # as many new pairs as there were distinct ones
+                    pair, n = merged(pairs, counts)
+                    pairs, counts, done = [pair], [n], len(pair)
+                held_[k] = pairs, counts, done
+        for pairs, counts, _ in held_.values():
+            pair, n = merged(pairs, counts)
+            for i in range(0, len(pair), ROW_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i : i + ROW_PAIRS].astype(t).tobytes()], pa.binary()) for x, t in ((pair, "<i4"), (n, "<i8"))], ["pair", "n"])
+
+    dealt = docs.mapInArrow(common.tidy(work), "deal int, pair binary, n binary").repartition(deals, "deal")
+    return dealt.mapInArrow(common.tidy(pack), "pair binary, n binary")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -444,7 +471,7 @@ def score_texts(df: DataFrame, held: int = 2, folds: int = 7, id_col: str = "doc
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, serial = shared.value, TaskContext.get().partitionId(), 0
-        memo, n_units, id_kind = model.unit_memo(), len(model.units), pa.null()
+        n_units, id_kind = len(model.units), pa.null()
         names = ["key", "chunk", "place", "c", "class", "body"]
         number = _Numbers()
         texts, own, size = [], [], 0
@@ -452,7 +479,7 @@ def score_texts(df: DataFrame, held: int = 2, folds: int = 7, id_col: str = "doc
         def flush() -> Iterator[pa.RecordBatch]:
             chunk, rows = part << 32 | serial, len(number)
             word = np.concatenate(texts)
-            unit = np.fromiter(map(memo.__getitem__, number), np.int64, rows)
+            keys, unit = model.units_of(list(number))
             classes = model.classes[unit].astype(np.uint8)
             later = unit >= n_units
             sizes = np.array([o[2] for o in own])
@@ -464,11 +491,10 @@ def score_texts(df: DataFrame, held: int = 2, folds: int = 7, id_col: str = "doc
             at = np.flatnonzero(trains & later[word])
             at = at[np.argsort(word[at], kind="stable")]
             places = np.flatnonzero(later)
-            keys = np.fromiter((word_key(w) for w, other in zip(number, later.tolist()) if other), np.int64, len(places))
             offsets = pa.array(np.concatenate([[0], np.cumsum(train[places])]) * 2, pa.int32())
             bodies = pa.Array.from_buffers(pa.binary(), len(places), [None, offsets.buffers()[1], pa.py_buffer(context[at].tobytes())])
             for i in range(0, len(places), 50_000):
-                yield pa.RecordBatch.from_arrays([x.slice(i, 50_000) for x in (pa.array(keys), pa.array(np.full(len(places), chunk)), pa.array(places, pa.int32()), pa.array(train[places], pa.int64()), pa.array(classes[places], pa.int16()), bodies)], names)
+                yield pa.RecordBatch.from_arrays([x.slice(i, 50_000) for x in (pa.array(keys[places]), pa.array(np.full(len(places), chunk)), pa.array(places, pa.int32()), pa.array(train[places], pa.int64()), pa.array(classes[places], pa.int16()), bodies)], names)
             # the documents' own values, words and units, under a key of their own and a count that no word has
             values = pa.RecordBatch.from_arrays([pa.array([o[i] for o in own], k) for i, k in enumerate((id_kind, pa.bool_(), pa.int64()))], ["id", "held_out", "n_tokens"])
             with pa.ipc.new_stream(sink := pa.BufferOutputStream(), values.schema) as writer:

@@ -652,3 +652,28 @@ def test_marks_are_the_rolling_hash_of_each_place():
     want = [i + 1 for i, x in enumerate(rolled) if (x >> 40) % (token_store.USUAL - token_store.LEAST) == 0]
     assert token_store.marks(ids).tolist() == want
     assert token_store.marks(ids[:0]).tolist() == []
+
+
+def test_bigrams_are_dealt_and_summed_as_arrays(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(k * k) % 40}" for k in rng.integers(60, size=int(rng.integers(30))))) for i in range(200)]
+    trains = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    lines = [brown.tokens(t.encode()) for i, t in rows if trains(i)]
+    top = sorted({w for line in lines for w in line} | {brown.END})[:12] + [brown.END]
+    top = list(dict.fromkeys(top))
+    model = brown.Model({brown.word_key(w): n for n, w in enumerate(top)}, None, None, None, None)
+    unit = lambda w: top.index(w) if w in top else len(top) + brown.shape(w)
+    words = sorted({w for line in lines for w in line})
+    keys, units = model.units_of(words)
+    assert keys.tolist() == list(map(brown.word_key, words)) and units.tolist() == list(map(unit, words)) == [model.unit_memo()[w] for w in words]
+    want = Counter((unit(a), unit(b)) for line in lines for a, b in zip([brown.END, *line], line))
+    made = brown.unit_bigrams(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), model, brown.FRAMES, 2, 7)
+    plan = made._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan  # no row for each pair in the JVM
+    got, total = Counter(), len(top) + brown.SHAPES
+    for r in made.collect():
+        for pair, n in zip(np.frombuffer(r["pair"], "<i4").tolist(), np.frombuffer(r["n"], "<i8").tolist()):
+            assert divmod(pair, total) not in got
+            got[divmod(pair, total)] = n
+    assert got == want
+    assert brown.unit_bigrams(spark.createDataFrame([], "doc_id long, text string"), model, brown.FRAMES, 2, 7).count() == 0
