@@ -318,16 +318,17 @@ def unit_bigrams(docs: DataFrame, model: Model, frames: int, held: int, folds: i
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (pairs, counts))], ["deal", "pair", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_: dict[int, tuple[list, list, int]] = {}
+        deals_: dict[int, list] = {}  # pairs, counts, how many of them, and how many there were when summed last
         for batch in batches:
             for k, pair, n in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs, counts, done = held_.get(k, ([], [], 0))
-                pairs, counts = [*pairs, np.frombuffer(pair, "<i4")], [*counts, np.frombuffer(n, "<i8")]
-                if sum(map(len, pairs)) > 2 * done + ROW_PAIRS:  # as many new pairs as there were distinct ones
-                    pair, n = merged(pairs, counts)
-                    pairs, counts, done = [pair], [n], len(pair)
-                held_[k] = pairs, counts, done
-        for pairs, counts, _ in held_.values():
+                deal = deals_.setdefault(k, [[], [], 0, 0])
+                deal[0].append(np.frombuffer(pair, "<i4"))
+                deal[1].append(np.frombuffer(n, "<i8"))
+                deal[2] += len(deal[0][-1])
+                if deal[2] > 2 * deal[3] + ROW_PAIRS:
+                    pairs, counts = merged(*deal[:2])
+                    deal[:] = [pairs], [counts], len(pairs), len(pairs)
+        for pairs, counts, _, _ in deals_.values():
             pair, n = merged(pairs, counts)
             for i in range(0, len(pair), ROW_PAIRS):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i : i + ROW_PAIRS].astype(t).tobytes()], pa.binary()) for x, t in ((pair, "<i4"), (n, "<i8"))], ["pair", "n"])
